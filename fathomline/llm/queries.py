@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import language_id, media_columns, sentencepiece_bpe
+from fathomline.llm import language_id, media_columns, sentencepiece_bpe, simhash
 from fathomline.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
