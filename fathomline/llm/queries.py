@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import language_id, media_columns, sentencepiece_bpe, simhash
+from fathomline.llm import language_id, media_columns, sentencepiece_bpe, simhash, suffix_dedup
 from fathomline.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
