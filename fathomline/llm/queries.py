@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import language_id, media_columns, sentencepiece_bpe, simhash, suffix_dedup
+from fathomline.llm import language_id, media_columns, merkle, mixing, sentencepiece_bpe, simhash, suffix_dedup
 from fathomline.llm.common import table
 
 
@@ -37,11 +37,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+#: How the mixing query shares out its budget.
+DOMAINS, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 4, {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}, 0.5, 3, 7
+
+
+def domain() -> F.Column:
+    """The tables name no domain: sources are dealt out to some by a checksum of their name."""
+    return F.concat(F.lit("domain"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % DOMAINS).cast("string"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"), domain=domain(), weights=MIX_WEIGHTS, fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,5 +75,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+def _op7_sql() -> str:
+    def nested(text: str, section: str, paragraph: str, leaf: str, joined: str) -> str:
+        leaves = f"array_to_string(list_transform(string_split(l, '. '), lambda x: {leaf}), ',')"
+        lines = f"array_to_string(list_transform(string_split(s, chr(10)), lambda l: {paragraph.format(leaves)}), ';')"
+        return joined.format(f"array_to_string(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {section.format(lines)}), '|')")
+
+    def fp(text: str) -> str:
+        return nested(text, "sha256({})", "sha256({})", "sha256(x)", "sha256({})") + " || ':' || " + nested(text, "{}", "{}", "left(sha256(x), 8)", "{}")
+
+    def likeness(a: str, b: str) -> str:
+        x, y = (f"list_distinct(regexp_split_to_array(split_part({k}, ':', 2), '[|;,]'))" for k in (a, b))
+        return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+        o AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
+        e AS (SELECT *, left(t, n - n // 2) || left(nt, n // 2) AS et FROM o),
+        f AS (SELECT doc_id, n, sha256(et) AS edited_sha256, {fp('t')} AS f1, {fp('et')} AS f2, {fp('nt')} AS f3 FROM e)
+        SELECT doc_id, n AS n_chars, edited_sha256, f1 AS fingerprint, f2 AS edited_fingerprint,
+               {likeness('f1', 'f2')} AS near_edited, {likeness('f1', 'f3')} AS near_next FROM f"""
+
+
+def _op2_sql() -> str:
+    def weighed(level: str) -> str:
+        return "CASE " + level + "".join(f" WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.get(level, {"": 1}).items()) + " ELSE 1 END"
+
+    def filled(src: str, parents: str, name: str) -> str:
+        by = f"PARTITION BY {parents}" if parents else ""
+        order = f"{by} ORDER BY capacity / weight, {name}"
+        return f"""
+            SELECT *, CASE WHEN full_ THEN capacity ELSE greatest(0, weight * o.l // o.f) END::BIGINT AS share FROM (
+              SELECT *, first_value(CASE WHEN NOT full_ THEN {{'l': left_, 'f': of_}} END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS o FROM (
+                SELECT *, capacity * of_ <= weight * left_ AS full_ FROM (
+                  SELECT *, budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_,
+                         (sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS of_ FROM {src})))"""
+
+    # crc32 isn't at hand in this SQL: the few sources' domains are stated by name.
+    import zlib
+
+    names = ["", *(f"src{k}" for k in range(1000))]
+    domains = " UNION ALL ".join(f"SELECT '{n}' AS source, 'domain{zlib.crc32(n.encode()) % DOMAINS}' AS domain" for n in names)
+    leaf = "domain, lang, source"
+    return f"""
+        WITH doms AS ({domains}),
+        r AS (SELECT doc_id, domain, coalesce(lang, '') AS lang, coalesce(d.source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{mixing.TOKEN}'))::BIGINT AS n_tokens
+              FROM documents d JOIN doms ON coalesce(d.source, '') = doms.source),
+        leaves AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {MIX_EPOCHS} AS capacity FROM r GROUP BY ALL),
+        b AS (SELECT floor(sum(tokens) * {MIX_FRACTION}::DOUBLE)::BIGINT AS total FROM leaves),
+        n1 AS (SELECT domain, sum(capacity)::BIGINT AS capacity, any_value(total) AS budget, {weighed('domain')} AS weight FROM leaves, b GROUP BY domain),
+        s1 AS (SELECT domain, share AS budget FROM ({filled('n1', '', 'domain')})),
+        n2 AS (SELECT domain, lang, sum(capacity)::BIGINT AS capacity, any_value(budget) AS budget, {weighed('lang')} AS weight FROM leaves JOIN s1 USING (domain) GROUP BY domain, lang),
+        s2 AS (SELECT domain, lang, share AS budget FROM ({filled('n2', 'domain', 'lang')})),
+        n3 AS (SELECT l.*, budget, 1 AS weight FROM leaves l JOIN s2 USING (domain, lang)),
+        s3 AS (SELECT {leaf}, tokens, share, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN share % tokens ELSE 0 END AS rest FROM ({filled('n3', 'domain, lang', 'source')})),
+        k AS (SELECT r.*, epochs, rest, md5('{MIX_SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM r JOIN s3 USING ({leaf})),
+        c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM k)
+        SELECT doc_id, {leaf}, n_tokens, epochs::BIGINT AS epochs, greatest(0, least(n_tokens, rest - before))::BIGINT AS extra_tokens FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
