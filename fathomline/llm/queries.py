@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import language_id, media_columns, merkle, mixing, sentencepiece_bpe, simhash, suffix_dedup
+from fathomline.llm import html_extraction, language_id, media_columns, merkle, mixing, preference_format, quality_mil, sentencepiece_bpe, simhash, suffix_dedup
 from fathomline.llm.common import table
 
 
@@ -50,6 +50,28 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"), domain=domain(), weights=MIX_WEIGHTS, fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _ranges(mask: str) -> F.Column:
+    return F.array_join(F.transform(mask, lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+
+
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_format.with_borrowed_answers(preference_format.turns(table(spark, sf_dir, "conversations")))
+    found = preference_format.formatted(pairs)
+    return found.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", _ranges("chosen_mask").alias("chosen_mask"), _ranges("rejected_mask").alias("rejected_mask"))
+
+
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    found = quality_mil.scored(docs, model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "top_passage", "n_passages")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
