@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ from fathomline.llm.common import utf8_values, written
 
 #: Bytes of the strings whose smallest hash names a window.
 GRAM = 16
-#: Bytes of text hashed in one go and windows sorted in one go: they bound a task's memory, not its results.
-STEP, SORTED = 1 << 20, 400_000
+#: Bytes of text hashed in one go, windows sorted in one go and bytes of a batch (unless one text is longer): they
+#: bound a task's memory, not its results.
+STEP, SORTED, BATCH = 1 << 20, 200_000, 8 << 20
 #: Runs of one name in a batch, and in all, beyond which its windows are dealt out by their own bytes.
-HOT_IN_BATCH, HOT = 64, 4096
+HOT_IN_BATCH, HOT = 512, 4096
 
 _RUN = [("name", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i8"), ("count", "<i4")]
 
@@ -101,27 +103,62 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _window_words(buffer: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The bytes of each window as big-endian numbers of 8, one row for each place, zeros after the window's end."""
+    wide = -(-length // 8)
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    each = np.ndarray((len(padded) - wide * 8 + 1,), f"V{wide * 8}", padded, strides=(1,))
+    words = np.ascontiguousarray(each[starts].view(">u8").reshape(len(starts), wide).T.astype(np.uint64))
+    words[-1] &= np.uint64((1 << 64) - (1 << 8 * (wide * 8 - length)))
+    return words
+
+
+def _ordered(words: np.ndarray) -> np.ndarray:
+    """The order of columns by their numbers from first to last; each place sorts only what those before left tied."""
+    order = np.argsort(words[0], kind="stable")
+    fresh = np.r_[True, words[0][order][1:] != words[0][order][:-1]][: len(order)]
+    for place in words[1:]:
+        tied = np.flatnonzero(~fresh | np.r_[~fresh[1:], False])
+        if not len(tied):
+            break
+        group, some = np.cumsum(fresh)[tied], order[tied]
+        value = place[some]
+        by = np.lexsort((value, group))
+        order[tied], value = some[by], value[by]
+        fresh[tied] = np.r_[True, (group[1:] != group[:-1]) | (value[1:] != value[:-1])]
+    return order
+
+
 def suffix_order(buffer: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): the suffixes at ``starts`` by their first ``length`` bytes, equal ones as given, and how many
     leading bytes each shares with the one before it, at most ``length``."""
-    wide = -(-length // 8)
-    rows = np.zeros((len(starts), wide * 8), np.uint8)
-    rows[:, :length] = np.lib.stride_tricks.sliding_window_view(buffer, length)[starts]
-    keys = rows.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
-    differ = keys[1:] ^ keys[:-1]
-    same = (differ == 0).cumprod(axis=1).sum(axis=1)
-    lcp = np.zeros(len(starts), np.int64)
-    lcp[1:] = same * 8
-    at = np.flatnonzero(same < wide)
-    word = differ[at, same[at]]
-    zeros = np.zeros(len(at), np.int64)
-    for byte in range(7, 0, -1):  # leading bytes without a difference
-        zeros += word >> np.uint64(8 * byte) == 0
-        word = np.where(word >> np.uint64(8 * byte) == 0, word, np.uint64(2**64 - 1))
-    lcp[at + 1] += zeros
-    return order, np.minimum(lcp, length)
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    words = _window_words(buffer, starts, length)
+    # Copies are many here: equal suffixes are brought together first, so that the order is made of different ones.
+    hashes = np.zeros(len(starts), np.uint64)
+    for place in words:
+        hashes = _mixed(hashes ^ place)
+    near = np.argsort(hashes, kind="stable")
+    fresh = np.ones(len(near), bool)
+    fresh[1:] = np.logical_or.reduce([place[near[1:]] != place[near[:-1]] for place in words])
+    heads = np.flatnonzero(fresh)
+    words = words[:, near[heads]]
+    unlike = _ordered(words)
+    counts = np.diff(np.r_[heads, len(near)])[unlike]
+    order = near[np.repeat(heads[unlike] - (np.cumsum(counts) - counts), counts) + np.arange(len(near))]
+    words = words[:, unlike]
+    between, word = np.zeros(len(unlike) - 1, np.int64), np.zeros(len(unlike) - 1, np.uint64)
+    for place in words:  # the first place that differs
+        differ = place[1:] ^ place[:-1]
+        between += 8 * ((word == 0) & (differ == 0))
+        word = np.where(word == 0, differ, word)
+    for byte in range(7, 0, -1):  # and its leading bytes without a difference
+        between += word >> np.uint64(8 * byte) == 0
+    lcp = np.full(len(order), length, np.int64)
+    lcp[np.cumsum(counts)[:-1]] = np.minimum(between, length)
+    lcp[0] = 0
+    return order, lcp
 
 
 def _one_way(docs: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -294,9 +331,20 @@ def _batch_rows(texts: list[bytes], ids: np.ndarray, copies: np.ndarray, length:
         yield _row(NAMES, b, _packed(name=(name[o] // np.uint64(buckets)) & np.uint64((1 << 40) - 1), doc=_delta(doc[o].astype("<i8")), copy=copy[o].astype("<i4"), start=start[o].astype("<i8"), count=count[o].astype("<i4"), hot=flag[p]))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each are of about ``BATCH`` bytes."""
+    for batch in batches:
+        sizes = np.cumsum([x or 0 for x in pc.binary_length(batch.column(2)).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _first_pass(length: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = utf8_values(batch, "text")
             ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             rows = list(_batch_rows(texts, ids, copies, length, buckets, most))
@@ -334,9 +382,7 @@ def _second_pass(length: int, buckets: int):
     """Rows (doc, copy, text, runs) to their runs with bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _parts(batches):
             texts = utf8_values(batch, "text")
             lists = batch.column(3)
             n = np.diff(lists.offsets.to_numpy())
@@ -459,13 +505,14 @@ def without_copies(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
 
     Other columns and the number of rows stay; a null text stays null."""
     marked = with_ranges(docs, length=length, id_col=id_col, text_col=text_col)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             new = [kept_bytes(t.encode(), s).decode(errors="ignore") if s else t for t, s in zip(texts, _spans(batch), strict=True)]
-            cols = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            cols = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns], "__ranges").mapInArrow(run, docs.schema)
