@@ -36,7 +36,7 @@ GRAM = 16
 #: bound a task's memory, not its results.
 STEP, SORTED, BATCH = 1 << 20, 200_000, 8 << 20
 #: Runs of one name in a batch, and in all, beyond which its windows are dealt out by their own bytes.
-HOT_IN_BATCH, HOT = 512, 4096
+HOT_IN_BATCH, HOT = 512, 20_000
 
 _RUN = [("name", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i8"), ("count", "<i4")]
 
@@ -256,9 +256,9 @@ def _as_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
 _PACKED = "kind int, bucket int, data binary, text binary"
 
 
-def _ranges_row(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes, bytes]:
+def _ranges_row(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int = 1) -> tuple[int, int, bytes, bytes]:
     order = np.lexsort((start, copy, doc))
-    return _row(RANGES, 0, _packed(doc=_delta(doc[order].astype("<i8")), copy=copy[order].astype("<i4"), start=start[order].astype("<i8"), end=end[order].astype("<i8")))
+    return _row(RANGES, int(doc[0]) % buckets, _packed(doc=_delta(doc[order].astype("<i8")), copy=copy[order].astype("<i4"), start=start[order].astype("<i8"), end=end[order].astype("<i8")))
 
 
 def _bytes_rows(texts: list[bytes], index: np.ndarray, name: np.ndarray, doc: np.ndarray, copy: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray, length: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -303,7 +303,7 @@ def _batch_rows(texts: list[bytes], ids: np.ndarray, copies: np.ndarray, length:
             run, at, n, marked = _split(marks, count[o], start[o])
             if marked.any():
                 r = o[run[marked]]
-                yield _ranges_row(doc[r], copies[index[r]], at[marked], at[marked] + n[marked] + length - 1)
+                yield _ranges_row(doc[r], copies[index[r]], at[marked], at[marked] + n[marked] + length - 1, buckets)
             r = o[run[~marked]]
             left.append(np.arange(len(name), len(name) + len(r)))
             name, index, doc = np.r_[name, name[r]], np.r_[index, index[r]], np.r_[doc, doc[r]]
@@ -354,44 +354,63 @@ def _first_pass(length: int, buckets: int, most: int):
     return run
 
 
-def _shared_names(most: int):
+#: A run's start, windows and whether it is hot, in one number.
+_COUNT_BITS = 23
+_NAMED = "kind int, bucket int, doc long, copy int, name long, place long, data binary, text binary"
+
+
+def _shared_names(most: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """Of a bucket's names those of two documents or more, or hot somewhere: their runs as rows for their documents."""
-        parts = []
-        for data in group.column("data").to_pylist():
+        """Of a bucket's names those of two documents or more, or hot somewhere: their runs as rows for their documents.
+
+        Rows of other kinds go through as they are."""
+        kinds = group.column("kind").to_numpy()
+        parts = [{k: np.empty(0, t) for k, t in _NAMES}]
+        for data in group.column("data").filter(pa.array(kinds == NAMES)).to_pylist():
             got = _unpacked(data, _NAMES)
             got["doc"] = np.cumsum(got["doc"])
             parts.append(got)
         name, doc, copy, start, count, hot = (np.concatenate([p[k] for p in parts]) for k, _ in _NAMES)
-        order = np.argsort(name, kind="stable")
-        edge = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-        size = np.diff(np.r_[edge, len(order)])
-        flagged = np.maximum.reduceat(hot[order], edge) > 0
-        several = (np.minimum.reduceat(doc[order], edge) != np.maximum.reduceat(doc[order], edge)) | flagged
-        very = flagged | (size > most)
-        o = order[np.repeat(several, size)]
-        own = np.zeros(len(name), bool)
-        own[order] = np.repeat(very, size)
-        o = o[hot[o] == 0]
-        return pa.table({"doc": pa.array(doc[o]), "copy": pa.array(copy[o]), "start": pa.array(start[o]), "count": pa.array(count[o]), "name": pa.array(name[o].astype(np.int64)), "bucket": pa.array(np.full(len(o), key[0].as_py(), np.int32)), "own": pa.array(own[o])})
+        del parts
+        if len(name):
+            order = np.argsort(name, kind="stable")
+            edge = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
+            size = np.diff(np.r_[edge, len(order)])
+            flagged = np.maximum.reduceat(hot[order], edge) > 0
+            several = (np.minimum.reduceat(doc[order], edge) != np.maximum.reduceat(doc[order], edge)) | flagged
+            own = np.zeros(len(name), bool)
+            own[order] = np.repeat(flagged | (size > most), size)
+            o = order[np.repeat(several, size)]
+            o = o[hot[o] == 0]
+        else:
+            o, own = np.empty(0, np.int64), np.empty(0, bool)
+        whole = name[o] * np.uint64(buckets) + np.uint64(key[0].as_py())
+        place = (start[o] << (_COUNT_BITS + 1)) | (count[o].astype(np.int64) << 1) | own[o]
+        n = len(o)
+        out = pa.table({"kind": pa.array(np.full(n, NAMES, np.int32)), "bucket": pa.array(np.full(n, key[0].as_py(), np.int32)), "doc": pa.array(doc[o]), "copy": pa.array(copy[o]), "name": pa.array(whole.view(np.int64)), "place": pa.array(place), "data": pa.nulls(n, pa.binary()), "text": pa.nulls(n, pa.binary())})
+        rest = group.filter(pa.array(kinds != NAMES))
+        if not len(rest):
+            return out
+        n = len(rest)
+        more = {"kind": rest["kind"], "bucket": rest["bucket"], "doc": pa.nulls(n, pa.int64()), "copy": pa.nulls(n, pa.int32()), "name": pa.nulls(n, pa.int64()), "place": pa.nulls(n, pa.int64()), "data": rest["data"].cast(pa.binary()), "text": rest["text"].cast(pa.binary())}
+        return pa.concat_tables([out, pa.table(more)])
 
     return run
 
 
 def _second_pass(length: int, buckets: int):
-    """Rows (doc, copy, text, runs) to their runs with bytes."""
+    """Rows (doc, copy, text, ..., runs) to their runs with bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             texts = utf8_values(batch, "text")
-            lists = batch.column(3)
+            lists = batch.column(batch.num_columns - 1)
             n = np.diff(lists.offsets.to_numpy())
             index = np.repeat(np.arange(len(n)), n)
-            flat = lists.flatten()
-            start, count, name, bucket, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-            whole = name.astype(np.uint64) * np.uint64(buckets) + bucket.astype(np.uint64)
+            name, place = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            start, count, hot = place >> (_COUNT_BITS + 1), (place >> 1) & ((1 << _COUNT_BITS) - 1), (place & 1).astype(bool)
             ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            rows = list(_bytes_rows(texts, index, whole, ids[index], copies[index], start, count, hot.astype(bool), length, buckets))
+            rows = list(_bytes_rows(texts, index, name.view(np.uint64), ids[index], copies[index], start, count, hot, length, buckets))
             for k in range(0, len(rows), 64):
                 yield _as_batch(rows[k : k + 64])
 
@@ -467,17 +486,23 @@ def with_ranges(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", te
     if not ids.isEmpty():  # rows of one id are told apart by their order
         copy = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
     rows = docs.withColumn("__copy", F.when(F.col(id_col).isNotNull(), copy).cast("int"))
-    texts = rows.where(f"`{id_col}` is not null and octet_length(`{text_col}`) >= {length}").select(F.col(id_col).cast("long").alias("doc"), F.col("__copy").alias("copy"), F.col(text_col).alias("text"))
-    first = written(texts.mapInArrow(_first_pass(length, buckets, hot_in_batch), _PACKED), "passage-names")
-    named = first.where(f"kind = {NAMES}").select("bucket", "data").groupBy("bucket").applyInArrow(_shared_names(hot), "doc long, copy int, start long, count int, name long, bucket int, own boolean")
-    wanted = named.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "count", "name", "bucket", "own")).alias("runs"))
-    sent = texts.join(wanted, ["doc", "copy"]).select("doc", "copy", "text", "runs").mapInArrow(_second_pass(length, buckets), _PACKED)
-    slices = sent.unionByName(first.where(f"kind = {BYTES}")).select("bucket", "data", "text").groupBy("bucket").applyInArrow(_slice_ranges(length), _PACKED)
-    packed = slices.select("data").unionByName(first.where(f"kind = {RANGES}").select("data"))
-    found = written(packed.mapInArrow(_range_rows, "doc long, copy int, start long, end long"), "passage-ranges")
-    by_doc = found.groupBy(F.col("doc").alias("__doc"), F.col("copy").alias("__copy2")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
-    joined = rows.join(by_doc, (F.col(id_col).cast("long") == F.col("__doc")) & (F.col("__copy") == F.col("__copy2")), "left")
-    return joined.drop("__doc", "__copy", "__copy2")
+    rest = [c for c in docs.columns if c != text_col]
+    # Both joins take these rows whole, so that one exchange of the texts serves both.
+    base = rows.select(F.col(id_col).cast("long").alias("doc"), F.col("__copy").alias("copy"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(rest)])
+    alone, base = base.where("doc is null or copy is null"), base.where("doc is not null and copy is not null")
+    first = base.select("doc", "copy", "text").mapInArrow(_first_pass(length, buckets, hot_in_batch), _PACKED)
+    named = written(first.groupBy("bucket").applyInArrow(_shared_names(hot, buckets), _NAMED), "passage-names")
+    # Dealt out by document before they are listed: lists of a part of a document's runs would be larger than the runs.
+    wanted = named.where(f"kind = {NAMES}").select("doc", "copy", "name", "place").repartition("doc", "copy").groupBy("doc", "copy").agg(F.collect_list(F.struct("name", "place")).alias("runs"))
+    sent = base.join(wanted.withColumnsRenamed({"doc": "__d", "copy": "__c"}), (base.doc == F.col("__d")) & (base["copy"] == F.col("__c"))).select(*base.columns, "runs").mapInArrow(_second_pass(length, buckets), _PACKED)
+    slices = sent.select("bucket", "data", "text").unionByName(named.where(f"kind = {BYTES}").select("bucket", "data", "text")).groupBy("bucket").applyInArrow(_slice_ranges(length), _PACKED)
+    packed = slices.select("data").unionByName(named.where(f"kind = {RANGES}").select("data"))
+    found = packed.mapInArrow(_range_rows, "doc long, copy int, start long, end long").repartition("doc", "copy")
+    by_doc = found.groupBy(F.col("doc").alias("__d"), F.col("copy").alias("__c")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
+    joined = base.join(by_doc, (base.doc == F.col("__d")) & (base["copy"] == F.col("__c")), "left").select(*base.columns, "__ranges")
+    joined = joined.unionByName(alone.withColumn("__ranges", F.lit(None).cast("array<struct<start: bigint, end: bigint>>")))
+    back = {c: F.col(f"__{k}") for k, c in enumerate(rest)} | {text_col: F.col("text")}
+    return joined.select(*[back[c].alias(c) for c in docs.columns], "__ranges")
 
 
 def _spans(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
