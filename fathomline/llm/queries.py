@@ -156,5 +156,29 @@ def _op2_sql() -> str:
         SELECT doc_id, {leaf}, n_tokens, epochs::BIGINT AS epochs, greatest(0, least(n_tokens, rest - before))::BIGINT AS extra_tokens FROM c"""
 
 
+def _op4_sql() -> str:
+    def text(x: str, when: str) -> str:
+        return f"coalesce(string_agg('<|im_start|>' || r || chr(10) || {x} || '<|im_end|>' || chr(10), '' ORDER BY k) FILTER (WHERE {when}), '')"
+
+    def mask(at: str, x: str) -> str:
+        return f"coalesce(string_agg(({at} + 13 + length(r)) || '-' || ({at} + 23 + length(r) + length({x})), ',' ORDER BY k) FILTER (WHERE k > n AND r = 'assistant'), '')"
+
+    def before(x: str) -> str:
+        return f"coalesce(sum(CASE WHEN k > n THEN 24 + length(r) + length({x}) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+
+    return f"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        la AS (SELECT conv_id, max(k) FILTER (WHERE r = 'assistant') AS la FROM t GROUP BY conv_id),
+        lt AS (SELECT t.conv_id, x FROM t JOIN la ON t.conv_id = la.conv_id AND k = la),
+        o AS (SELECT conv_id, la, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS nx FROM la),
+        b AS (SELECT o.conv_id, la, coalesce(lt.x, '') AS borrowed FROM o LEFT JOIN lt ON lt.conv_id = o.nx),
+        p AS (SELECT t.conv_id, k, r, x, CASE WHEN k = la THEN borrowed ELSE x END AS y FROM t JOIN b USING (conv_id)),
+        n AS (SELECT *, coalesce(min(CASE WHEN x <> y THEN k END) OVER (PARTITION BY conv_id) - 1, max(k) OVER (PARTITION BY conv_id)) AS n FROM p),
+        m AS (SELECT *, {before('x')} AS bx, {before('y')} AS bz FROM n)
+        SELECT conv_id, any_value(n)::INT AS prompt_turns, {text('x', 'k <= n')} AS prompt, {text('x', 'k > n')} AS chosen, {text('y', 'k > n')} AS rejected,
+               {mask('bx', 'x')} AS chosen_mask, {mask('bz', 'y')} AS rejected_mask FROM m GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
+    return {"op4_preference_format": _op4_sql(), "op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
