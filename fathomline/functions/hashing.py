@@ -58,7 +58,7 @@ def series_id(name: Column) -> Column:
 
 def unsigned(x: Column) -> Column:
     d = x.cast("decimal(20,0)")
-    return F.when(x < 0, d + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(d)
+    return F.when(x < 0, d + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d)
 
 
 def unsigned_order(x: Column) -> Column:
@@ -72,7 +72,7 @@ def sketch_columns(df: DataFrame, name: str, seed: int, m: int, d: int) -> DataF
     hashed = df.withColumn("__h1", seeded(F.col(name), seed)).withColumn("__h2", seeded(F.col(name), (seed ^ SECOND) & _M).bitwiseOR(F.lit(1)))
     rows = hashed.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
     total = (unsigned(h1) + F.col("__i").cast("decimal(3,0)") * unsigned(h2)).cast("decimal(38,0)")
-    wrapped = total % F.lit(1 << 64).cast("decimal(20,0)")
+    wrapped = total % F.lit(str(1 << 64)).cast("decimal(20,0)")
     bit = F.expr("shiftrightunsigned(__h1, __i + 1) & 1")
     return rows.withColumn("bucket", (wrapped % F.lit(m).cast("decimal(20,0)")).cast("int")).withColumn("sign", F.when(bit == 1, 1).otherwise(-1)).drop("__h1", "__h2", "__i")
 

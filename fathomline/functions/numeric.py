@@ -25,7 +25,7 @@ def adaptive_scale(largest: Column, bits: int = 8) -> Column:
 
 
 def soft_threshold(x: Column, t: Column) -> Column:
-    return F.signum(x) * F.greatest(F.abs(x) - t, F.lit(0.0))
+    return F.signum(x) * F.greatest(F.abs(x) - t, F.lit(0.0)) + 0.0  # no negative zero
 
 
 def interval_score(y: Column, lo: Column, hi: Column, mad: Column, floor: float = 1e-9) -> Column:

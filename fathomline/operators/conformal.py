@@ -69,7 +69,7 @@ def sketch_quantile_at(bins: DataFrame, keys: list[str], accuracy: float) -> Dat
     position = F.col("sign") * F.when(F.col("sign") == 0, 0).otherwise(F.col("bin") + F.lit(100_000))
     rows = bins.where("weight > 0").withColumn("__p", position)
     rows = rows.withColumn("__c", F.sum("weight").over(part.orderBy("__p"))).withColumn("__t", F.sum("weight").over(part))
-    first = rows.where(F.col("__c") > F.col("level") * (F.col("__t") - 1)).groupBy(*keys).agg(F.min_by(F.struct("sign", "bin"), "__p").alias("s"))
+    first = rows.where(F.col("__c") > F.col("level") * (F.col("__t") - 1)).groupBy(*keys).agg(F.min_by(F.struct("sign", "bin"), "__p").alias("s")).where("s is not null")
     middle = F.col("s.sign") * 2 * F.pow(F.lit(gamma), F.col("s.bin").cast("double")) / (gamma + 1)
     return first.select(*keys, F.when(F.col("s.sign") == 0, 0.0).otherwise(middle).alias("quantile"))
 

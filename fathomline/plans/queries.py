@@ -515,10 +515,10 @@ def quantized_values(spark, d):
     return e.join(scale, "event_type").withColumn("step", step).select("event_id", "step", rounded(numeric.dequantized(F.col("step"), F.col("scale"))).alias("back"))
 
 
-@query("SELECT event_id, round(sign(value - 50) * greatest(abs(value - 50) - 10, 0.0), 6) AS shrunk, round(10 + 1.0 / 0.2 * (pow(1 - (event_id % 1000 + 0.5) / 1000.0::DOUBLE, -0.2) - 1), 6) AS tail FROM events")
+@query("SELECT event_id, round(sign(value - 50) * greatest(abs(value - 50) - 10, 0.0), 6) + 0.0 AS shrunk, round(10 + 1.0 / 0.2 * (pow(1 - (event_id % 1000 + 0.5) / 1000.0::DOUBLE, -0.2) - 1), 6) AS tail FROM events")
 def scalar_functions(spark, d):
     p = (F.col("event_id") % 1000 + 0.5) / 1000.0
-    return events(spark, d).select("event_id", rounded(numeric.soft_threshold(F.col("value") - 50, F.lit(10.0))).alias("shrunk"), rounded(numeric.pareto_quantile(p, 0.2, 1.0, 10.0)).alias("tail"))
+    return events(spark, d).select("event_id", (rounded(numeric.soft_threshold(F.col("value") - 50, F.lit(10.0))) + 0.0).alias("shrunk"), rounded(numeric.pareto_quantile(p, 0.2, 1.0, 10.0)).alias("tail"))
 
 
 @query("SELECT event_id, CAST(floor((epoch(ts) - 1800) / 604800) AS BIGINT) AS epoch FROM events")

@@ -37,7 +37,7 @@ def anomalies(spark: SparkSession, *, groups: int, windows: int, count: int = 20
 
 def applied(values: DataFrame, truth: DataFrame) -> DataFrame:
     """Values with the jumps of truth rows added to all instances of their group."""
-    t = truth.groupBy(F.col("grp").alias("__g"), F.explode(F.sequence("window_start", "window_end")).alias("__w")).agg(F.sum("magnitude").alias("__m"))
+    t = truth.select(F.col("grp").alias("__g"), F.explode(F.sequence("window_start", "window_end")).alias("__w"), "magnitude").groupBy("__g", "__w").agg(F.sum("magnitude").alias("__m"))
     joined = values.join(t, (values.grp == F.col("__g")) & (values.w == F.col("__w")), "left")
     return joined.withColumn("value", F.col("value") + F.coalesce("__m", F.lit(0.0))).drop("__g", "__w", "__m")
 
