@@ -64,6 +64,6 @@ def median_abs_deviation(values: str) -> Column:
 
 def array_median(values: Column) -> Column:
     """Median of an array, the mean of the middle two of an even number; null for an empty array."""
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(values)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
