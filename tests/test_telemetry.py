@@ -270,3 +270,33 @@ def test_scalar_pieces(spark):
     assert encode.passed_on(rows).count() == 2 and encode.passed_on(rows, shadow=True).count() == 3
     t = spark.createDataFrame([("summary", "zz"), ("gauge", "up_err"), ("gauge", "other")], "kind string, metric string").select(encode.tier(F.col("metric"), queries.RULES, F.col("kind")).alias("t")).collect()
     assert [r.t for r in t] == ["exact", "merged", "sketched"]
+
+
+def test_late_and_repeated_rows(spark):
+    frames_ = spark.createDataFrame([("e", 1, 0), ("e", 2, 1), ("e", 3, 0), ("e", 4, 1)], "emitter string, t int, epoch int")
+    assert [r.t for r in analyze.late_epochs_dropped(frames_, "emitter", ["t"]).orderBy("t").collect()] == [1, 2, 4]
+    state = spark.createDataFrame([("v", 1, False, False, True), ("v", 2, True, False, False), ("v", 3, False, False, True), ("v", 4, False, True, False), ("v", 5, False, False, True)], "view string, t int, bad boolean, heal boolean, res boolean")
+    assert [r.t for r in analyze.degraded_dropped(state, ["view"], ["t"], "bad", "heal", "res").orderBy("t").collect()] == [1, 2, 4, 5]
+    empty = spark.createDataFrame([], "emitter string, t int, epoch int")
+    assert analyze.late_epochs_dropped(empty, "emitter", ["t"]).count() == 0
+
+
+def test_absence_stream(spark, tmp_path):
+    schema = "view string, w long, emitter string, series long, released boolean"
+    spark.createDataFrame([("v", 0, "a", 1, False), ("v", 1, "a", 1, True), ("v", 1, "b", 2, False)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = windows.absences(stream, ttl=5).writeStream.outputMode("append").format("memory").queryName("gone").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        assert [tuple(r) for r in spark.sql("select * from gone").collect()] == [("v", 1, 1)]
+    finally:
+        q.stop()
+
+
+def test_ring_and_masks(spark):
+    days = spark.createDataFrame([(k,) for k in range(10)], "day int")
+    ring = conformal.ring_weights(days, "day", capacity=4, decay=0.5)
+    assert {r.day: r.weight for r in ring.collect()} == {9: 1.0, 8: 0.5, 7: 0.25, 6: 0.125}
+    off = {r.day: r.weight for r in conformal.masked(ring, "day", [(7, 8)]).collect()}
+    assert off == {9: 1.0, 8: 0.0, 7: 0.0, 6: 0.125}
+    assert conformal.effective_n(ring.withColumn("n", F.lit(8)), []).first()[0] == 15.0
