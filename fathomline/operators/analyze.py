@@ -163,3 +163,32 @@ def fallback_events(fallbacks: DataFrame) -> DataFrame:
 def counters(log: DataFrame, by: list[str]) -> DataFrame:
     """Counts, mean and largest bytes of a frame log, by labels."""
     return log.groupBy(*by).agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.avg("bytes").alias("mean_bytes"), F.max("bytes").alias("max_bytes"))
+
+
+def keyed(frames: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(frames with the key of their version, frames whose key is unknown)."""
+    return frames.join(keys, on), frames.join(keys.select(*on).distinct(), on, "left_anti")
+
+
+def stamped(events: DataFrame, names: DataFrame, series: str = "series_id") -> DataFrame:
+    """Events with the name of their series; a series that the dictionary lacks has none."""
+    return events.join(names.select(series, F.col("name").alias("series_name")).dropDuplicates([series]), series, "left")
+
+
+def shadow_gauges(log: DataFrame, by: list[str]) -> DataFrame:
+    """What compressing dictionary blocks would save: bytes an entry, and the share of all bytes that would go."""
+    g = log.groupBy(*by).agg(F.sum("raw").alias("raw"), F.sum("packed").alias("packed"), F.sum("entries").alias("entries"), F.sum("total").alias("total"))
+    return g.select(*by, F.try_divide("raw", "entries").alias("raw_per_entry"), F.try_divide("packed", "entries").alias("packed_per_entry"), (F.try_divide(F.col("raw") - F.col("packed"), F.col("total")) * 100).alias("saved_percent"))
+
+
+def newest_alerts(alerts: DataFrame, at: list[str], most: int = 256) -> DataFrame:
+    return alerts.orderBy(*[F.col(c).desc() for c in at]).limit(most)
+
+
+def any_degraded(states: DataFrame, shard: list[str], flag: str = "degraded") -> DataFrame:
+    return states.groupBy(*shard).agg(F.bool_or(flag).alias(flag))
+
+
+def pooled_rates(results: DataFrame, by: list[str], found: str, tried: str) -> DataFrame:
+    """Rates pooled over runs: the sum of what was found over the sum of what was tried."""
+    return results.groupBy(*by).agg(F.sum(found).alias("found"), F.sum(tried).alias("tried")).withColumn("rate", F.try_divide("found", "tried"))

@@ -210,3 +210,33 @@ def frame_sizes(frames: DataFrame) -> DataFrame:
     """``encoded_size`` of frames: the fixed part, 15 bytes and the name for each dictionary entry, blob and payload."""
     entries = F.aggregate(F.coalesce("dict_deltas", F.array().cast("array<struct<id: bigint, flags: smallint, init_value: float, name: string>>")), F.lit(0), lambda n, e: n + 15 + F.octet_length(F.coalesce(e["name"], F.lit(""))))
     return frames.withColumn("encoded_size", F.lit(78) + entries + F.coalesce(F.octet_length("snapshot_blob"), F.lit(0)) + F.coalesce(F.octet_length("payload"), F.lit(0)))
+
+
+def cadence_drift(values: DataFrame, key: list[str], every: int, threshold: float, seq: str = "w", value: str = "value") -> DataFrame:
+    """Drift on a cadence of its own: each ``every``-th window against the one before on that cadence."""
+    return keyframe_drift(values, every, threshold, key, seq, value)
+
+
+def frozen_references(values: DataFrame, key: list[str], seq: str, value: str, threshold: float, calm: int = 3) -> DataFrame:
+    """(key, steps): the reference that each value is held against. A value beyond ``threshold`` freezes the reference;
+    after ``calm`` values in a row within it, it follows again. Decisions feed back, so the rows are folded in order."""
+    kind = "array<struct<w: bigint, reference: double, out: boolean>>"
+    zero = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(False).alias("frozen"), F.lit(0).alias("calm"), F.array().cast(kind).alias("steps"))
+
+    def step(s: Column, r: Column) -> Column:
+        v = r[value].cast("double")
+        ref = F.coalesce(s["ref"], v)
+        out = F.abs(v - ref) > threshold
+        quiet = F.when(out, 0).otherwise(s["calm"] + 1)
+        frozen = out | (s["frozen"] & (quiet < calm))
+        row = F.struct(r[seq].cast("bigint").alias("w"), ref.alias("reference"), out.alias("out"))
+        return F.struct(F.when(frozen, ref).otherwise(v).alias("ref"), frozen.alias("frozen"), quiet.alias("calm"), F.concat(s["steps"], F.array(row)).alias("steps"))
+
+    out = ordered_fold(values, key, [seq], zero, step, lambda s: s["steps"], [value], "steps")
+    return out.select(*key, F.explode("steps").alias("__s")).select(*key, "__s.*")
+
+
+def active_values(series: DataFrame, key: list[str], seq: str, value: str, at: int, ttl: int) -> DataFrame:
+    """The last value of each series that isn't expired at window ``at``."""
+    last = series.where(F.col(seq) <= at).groupBy(*key).agg(F.max_by(value, seq).alias(value), F.max(seq).alias("last_seen"))
+    return last.where(at - F.col("last_seen") < ttl)

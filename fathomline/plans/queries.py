@@ -579,3 +579,44 @@ def synthetic_world(spark, d):
     values = synthetic.world(spark, groups=30, instances=5, windows=40)
     jumped = synthetic.applied(values, synthetic.anomalies(spark, groups=30, windows=40))
     return jumped.groupBy("w", "grp").agg(rounded(F.sum("value")).alias("value"))
+
+
+@query(f"WITH {S}, k AS (SELECT *, lag(sum) OVER (PARTITION BY g ORDER BY w) AS p FROM f WHERE w % 3 = 0) SELECT g AS event_type, w, round(sum - p, 6) AS moved FROM k WHERE abs(sum - p) > 150")
+def cadence_drift(spark, d):
+    return encode.cadence_drift(folded(spark, d), ["event_type"], 3, 150.0, value="sum").select("event_type", "w", rounded(F.col("sum") - F.col("prev")).alias("moved"))
+
+
+@query(f"WITH {U} SELECT name, arg_max(value, w) AS value, max(w) AS last_seen FROM u WHERE w <= 19740 GROUP BY name HAVING 19740 - max(w) < 5")
+def active_values(spark, d):
+    return encode.active_values(user_series(spark, d), ["name"], "w", "value", 19740, 5)
+
+
+@query("SELECT event_type, round(sum(length(props) * 3) / sum(2), 6) AS raw_per_entry, round(sum(length(props)) / sum(2), 6) AS packed_per_entry, round(sum(length(props) * 2) / sum(78 + length(props) * 3) * 100, 6) AS saved_percent FROM events GROUP BY 1")
+def shadow_gauges(spark, d):
+    n = F.length("props").cast("long")
+    log = events(spark, d).select("event_type", (n * 3).alias("raw"), n.alias("packed"), F.lit(2).alias("entries"), (n * 3 + 78).alias("total"))
+    out = analyze.shadow_gauges(log, ["event_type"])
+    return out.select("event_type", *[rounded(c).alias(c) for c in ("raw_per_entry", "packed_per_entry", "saved_percent")])
+
+
+@query("SELECT user_id, event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 256")
+def newest_alerts(spark, d):
+    return analyze.newest_alerts(events(spark, d).select("user_id", "event_id", "ts"), ["ts", "event_id"])
+
+
+@query("SELECT event_type, count_if(value > 50)::BIGINT AS found, count(*) AS tried, round(count_if(value > 50) / count(*), 6) AS rate FROM events GROUP BY 1")
+def pooled_rates(spark, d):
+    runs = events(spark, d).groupBy("event_type", (F.col("user_id") % 5).alias("run")).agg(F.count_if(F.col("value") > 50).alias("hit"), F.count("*").alias("n"))
+    return analyze.pooled_rates(runs, ["event_type"], "hit", "n").withColumn("rate", rounded("rate"))
+
+
+@query("SELECT e.event_id, p.p_name AS series_name FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id * 20")
+def stamped_events(spark, d):
+    names = spark.read.parquet(os.path.join(d, "part.parquet")).select(F.col("p_partkey").alias("series_id"), F.col("p_name").alias("name"))
+    return analyze.stamped(events(spark, d).select("event_id", (F.col("user_id") * 20).alias("series_id")), names).select("event_id", "series_name")
+
+
+@query()
+def frozen_references(spark, d):
+    """The reference depends on its own past decisions; not for SQL windows."""
+    return encode.frozen_references(folded(spark, d), ["event_type"], "w", "sum", 200.0).withColumn("reference", rounded("reference"))

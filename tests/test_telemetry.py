@@ -24,7 +24,8 @@ def normal(v):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"create view events as select * from '{sf}/events.parquet'")
+    for t in ("events", "part"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     want = con.sql(queries.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
@@ -300,3 +301,28 @@ def test_ring_and_masks(spark):
     off = {r.day: r.weight for r in conformal.masked(ring, "day", [(7, 8)]).collect()}
     assert off == {9: 1.0, 8: 0.0, 7: 0.0, 6: 0.125}
     assert conformal.effective_n(ring.withColumn("n", F.lit(8)), []).first()[0] == 15.0
+
+
+def test_settings_report_all_faults():
+    from fathomline.operators.config import Encoder, View
+
+    ok = Encoder(["region"], ["pod"], golden_s=600).checked()
+    assert ok.golden_windows() == 60 and ok.resolved_views()[0].keys == ["region"]
+    with pytest.raises(ValueError) as e:
+        Encoder([], ["pod"], m=0, bits=9, rules=[("(", "none")], views=[View("a"), View("a")], golden_every=7, golden_s=600).checked()
+    assert all(x in str(e.value) for x in ("logical_key", "m must", "bits", "unknown tier", "pattern", "one name", "disagree"))
+
+
+def test_references_freeze(spark):
+    rows = [("s", k, v) for k, v in enumerate([10.0, 11.0, 50.0, 52.0, 11.0, 11.5, 12.0, 12.5])]
+    got = encode.frozen_references(spark.createDataFrame(rows, "s string, w long, value double"), ["s"], "w", "value", 5.0).orderBy("w").collect()
+    assert [r.reference for r in got] == [10.0, 10.0, 11.0, 11.0, 11.0, 11.0, 11.0, 12.0] and [r.out for r in got] == [False, False, True, True, False, False, False, False]
+
+
+def test_keys_and_states(spark):
+    f = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "frame int, key_version int")
+    have, lack = analyze.keyed(f, spark.createDataFrame([(0, "a"), (1, "b")], "key_version int, tenant_key string"), ["key_version"])
+    assert have.count() == 2 and lack.first().frame == 3
+    assert analyze.any_degraded(spark.createDataFrame([(1, True), (1, False)], "shard int, degraded boolean"), ["shard"]).first().degraded
+    events_ = analyze.fallback_events(spark.createDataFrame([(1, [(5, 2.0), (6, 1.0)])], "w int, top array<struct<id: long, value: double>>"))
+    assert sorted((r.series_id, r.value) for r in events_.collect()) == [(5, 2.0), (6, 1.0)]
