@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,16 +49,37 @@ def utf8_values(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return column_values(pa.record_batch([batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())], ["x"]), "x", b"")
 
 
+#: Bytes of text that a task turns into Python objects at a time (one text, if that is longer).
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_col: str | int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each are of about ``most`` bytes. At the end freed memory is given back: Python
+    workers live on for the tasks of later stages."""
+    for batch in batches:
+        at = text_col if isinstance(text_col, int) else batch.schema.get_field_index(text_col)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(sizes, (int(sizes[start - 1]) if start else 0) + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_row(df: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
-    """``keep`` columns of ``df`` mapped batch by batch to ``schema``; ``rows`` gives each output column as a list."""
+    """``keep`` columns of ``df`` (the second is the text) mapped part by part to ``schema``; ``rows`` gives each output
+    column as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(rows(batch))
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_pydict(rows(batch))
 
     return df.select(*keep).mapInArrow(run, schema)
-
-
-def whole_part(fraction: F.Column) -> F.Column:
-    return F.floor(fraction).cast("long")

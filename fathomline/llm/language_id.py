@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import column_values
+from fathomline.llm.common import column_values, give_back, slices
 
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Counters are emptied at this many entries, so a task's memory doesn't grow with its rows.
-_FLUSH = 200_000
+_FLUSH = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -100,6 +100,8 @@ class Scorer:
 def _counted(rows: DataFrame, schema: str, keys) -> DataFrame:
     """Rows (lang, order, key, n): partial counts of ``keys(batch)`` items, summed by Spark after each task has combined its own."""
 
+    batches_of = rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
@@ -111,11 +113,12 @@ def _counted(rows: DataFrame, schema: str, keys) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part), pa.string()), "size": pa.array([x[0][0] for x in part], pa.int32()), "key": pa.array([x[0][1] for x in part], pa.string()), "n": pa.array([x[1] for x in part], pa.int64())})
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches, "text" if "text" in batches_of else "key"):
             keys(batch, held)
             if sum(map(len, held.values())) > _FLUSH:
                 yield from out()
         yield from out()
+        give_back()
 
     return rows.mapInArrow(run, schema).groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
 
@@ -199,7 +202,7 @@ def predicted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             got = [scorer.predict(t) for t in column_values(batch, text_col, "")]
             yield batch.append_column(pred_col, pa.array([g[0] for g in got], pa.string())).append_column(score_col, pa.array([g[1] for g in got], pa.float64()))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import utf8_values
+from fathomline.llm.common import slices, utf8_values
 
 #: Bytes of a passage; kinds of bytes that features count, by themselves and in pairs.
 PASSAGE, KINDS = 600, 15
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("__doc") == F.col("__id")).select("__id", "__label", "text")  # at most most_labels rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             x, counts = passages(utf8_values(batch, "text"))
             first = np.cumsum(counts) - counts
             kept = [x[f + np.unique(np.linspace(0, c - 1, min(c, most_passages)).astype(int))] for f, c in zip(first.tolist(), counts.tolist(), strict=True)]
@@ -187,9 +187,8 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+        for part in slices(batches, text_col):
+            if part.num_rows:
                 x, counts = passages(utf8_values(part, text_col))
                 score, a = shared.value.scores(x, counts)
                 first = np.cumsum(counts) - counts

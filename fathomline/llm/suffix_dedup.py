@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import utf8_values, written
+from fathomline.llm.common import slices, utf8_values, written
 
 #: Bytes of the strings whose smallest hash names a window.
 GRAM = 16
@@ -331,20 +330,9 @@ def _batch_rows(texts: list[bytes], ids: np.ndarray, copies: np.ndarray, length:
         yield _row(NAMES, b, _packed(name=(name[o] // np.uint64(buckets)) & np.uint64((1 << 40) - 1), doc=_delta(doc[o].astype("<i8")), copy=copy[o].astype("<i4"), start=start[o].astype("<i8"), count=count[o].astype("<i4"), hot=flag[p]))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of each are of about ``BATCH`` bytes."""
-    for batch in batches:
-        sizes = np.cumsum([x or 0 for x in pc.binary_length(batch.column(2)).to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, "right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def _first_pass(length: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in slices(batches, "text", BATCH):
             texts = utf8_values(batch, "text")
             ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             rows = list(_batch_rows(texts, ids, copies, length, buckets, most))
@@ -402,7 +390,7 @@ def _second_pass(length: int, buckets: int):
     """Rows (doc, copy, text, ..., runs) to their runs with bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in slices(batches, "text", BATCH):
             texts = utf8_values(batch, "text")
             lists = batch.column(batch.num_columns - 1)
             n = np.diff(lists.offsets.to_numpy())
@@ -515,7 +503,7 @@ def digests(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_c
     marked = with_ranges(docs.select(id_col, text_col), length=length, id_col=id_col, text_col=text_col, **limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             data, spans = utf8_values(batch, text_col), _spans(batch)
             yield pa.RecordBatch.from_pydict({
                 id_col: batch.column(0), "n_bytes": pa.array(map(len, data), pa.int64()), "n_removed": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
@@ -534,7 +522,7 @@ def without_copies(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             new = [kept_bytes(t.encode(), s).decode(errors="ignore") if s else t for t, s in zip(texts, _spans(batch), strict=True)]
             cols = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
