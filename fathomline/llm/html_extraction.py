@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import column_values
+from fathomline.llm.common import column_values, slices, written
 
 #: Fixed values of HTML: elements without an end, with raw text, that stand in a line, and that may hold an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,6 +107,8 @@ def parsed(page: str) -> Element:
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and top.tag == tag:
             top = close(top)
         label, skip, names = _described(tag, rest, tag in ("html", "body"))
+        # A header outside of an article is the site's.
+        skip = skip or tag == "header" and not open_tags.get("article") and not open_tags.get("main")
         new = Element(tag, label, top, top.skip or skip, names)
         top.inside.append(new)
         if tag in VOID or rest.endswith("/") and tag not in CLOSES_P:
@@ -224,7 +226,7 @@ def votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
     """(host, path, pages, score): what the pages of each host voted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             got = [vote(h) for h in column_values(batch, "html", "")]
             keep = [k for k, g in enumerate(got) if g]
             yield pa.RecordBatch.from_pydict({"host": batch.column(0).take(pa.array(keep, pa.int64())), "path": pa.array([got[k][0] for k in keep], pa.string()), "score": pa.array([got[k][1] for k in keep], pa.float64())})
@@ -244,12 +246,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     The vote is counted with map-side sums, so a host of very many pages is a few rows a task. Pages of such a host
     meet its one winning row in a join that Spark can split.
     """
-    won = winners(votes(pages, url_col=url_col, html_col=html_col)).withColumnRenamed("host", "__host")
+    # Written first, so that its size is known: few hosts are sent to the pages, many are met in a sorted join.
+    won = written(winners(votes(pages, url_col=url_col, html_col=html_col)).withColumnRenamed("host", "__host"), "host-paths")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
     joined = rows.join(won, rows.host == F.col("__host"), "left").select("id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             got = [extracted(h, p) for h, p in zip(column_values(batch, "html", ""), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["id", "url", "text", "path"])
 
