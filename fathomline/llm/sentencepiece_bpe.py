@@ -61,7 +61,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """A byte-fallback BPE vocabulary read from a ``.model`` file, with an encoder and a decoder."""
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 100_000):
         with open(path, "rb") as f:
             message = list(_fields(f.read()))
         import struct
@@ -102,11 +102,17 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         for piece in self.rank:
             if self._known(piece):
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (self.id_of[piece], len(piece)))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.characters = frozenset(p for p in self.id_of if len(p) == 1)
+        self.spaced = [p.replace(MARK, " ") if k != CONTROL else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.lengths, self.names = list(map(len, self.pieces)), list(map(str, range(len(self.pieces))))
+        self.byte_ids = frozenset(self.byte_of)
+        #: Pairs that were tested; segments that were encoded lately, and those before them.
+        self.fits: dict[int, bool] = {}
         self.remembered = remembered
         self.memory: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _known(self, piece: str) -> bool:
         """A character of the vocabulary, or a piece that its own characters merge to."""
@@ -127,35 +133,59 @@ class PieceModel:
             else:  # of two equal merges the left one happens first
                 limit, right = b + 1, split[right][0]
 
-    def may_follow(self, left: str, right: str) -> bool:
-        """Pair compatibility: the text left + right is encoded as these two pieces."""
-        key = (left, right)
+    def may_follow(self, left: int, right: int) -> bool:
+        """Pair compatibility: the text of the two pieces is encoded as these two pieces."""
+        key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) >= self.remembered:
+            if len(self.fits) >= 8 * self.remembered:
                 self.fits.clear()
-            found = self.fits[key] = self._apart(left, right)
+            found = self.fits[key] = self._apart(self.pieces[left], self.pieces[right])
         return found
 
+    def _runs(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that consist of characters of the vocabulary, each encoded apart, in one pass of the automaton.
+
+        The texts stand in a row: where one begins any piece may. All but a single text begin with the mark of a space
+        and end otherwise, so no piece reaches from one into the next."""
+        row = "".join(texts)
+        last, opens, at = [-1] * (len(row) + 1), bytearray(len(row) + 1), 0
+        for t in texts:
+            opens[at] = 1
+            at += len(t)
+        known, follow = self.fits.get, self.may_follow
+        for end, (piece, size) in self.automaton.iter(row):
+            end += 1
+            if last[end] < 0:
+                start = end - size
+                if opens[start]:
+                    last[end] = piece
+                elif (before := last[start]) >= 0:
+                    fits = known(before << 32 | piece)
+                    if fits or fits is None and follow(before, piece):
+                        last[end] = piece
+        out, lengths, at = [], self.lengths, 0
+        for t in texts:
+            start, at = at, at + len(t)
+            ids, k = [], at
+            while k > start:
+                piece = last[k]
+                ids.append(piece)
+                k -= lengths[piece]
+            ids.reverse()
+            out.append(ids)
+        return out
+
     def _run(self, text: str) -> list[int]:
-        """Ids of a text that consists of characters of the vocabulary."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        for end, piece in self.automaton.iter(text):
-            start = end + 1 - len(piece)
-            if last[end + 1] is None and (start == 0 or ((before := last[start]) is not None and self.may_follow(before, piece))):
-                last[end + 1] = piece
-        ids, at = [], len(text)
-        while at:
-            piece = last[at]
-            ids.append(self.id_of[piece])
-            at -= len(piece)
-        return ids[::-1]
+        return self._runs([text])[0]
 
     def _segment(self, text: str) -> list[int]:
+        if self.characters.issuperset(text):
+            return self._run(text)
         ids: list[int] = []
         start = 0
         for at, char in enumerate(text):
-            if char not in self.id_of:
+            if char not in self.characters:
                 if at > start:
                     ids += self._run(text[start:at])
                 ids += [self.bytes_ids[b] for b in char.encode()]
@@ -164,6 +194,9 @@ class PieceModel:
 
     def _pieces_text(self, ids: Iterable[int]) -> str:
         """Text of ids with each mark turned into a space; the bytes of a run of byte pieces are decoded together."""
+        ids = list(ids)
+        if self.byte_ids.isdisjoint(ids):
+            return "".join([self.spaced[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -172,23 +205,38 @@ class PieceModel:
             if run:
                 out.append(run.decode(errors="replace"))
                 run.clear()
-            if self.kinds[i] != CONTROL:
-                out.append(self.pieces[i].replace(MARK, " "))
+            out.append(self.spaced[i])
         if run:
             out.append(run.decode(errors="replace"))
         return "".join(out)
 
-    def _looked_up(self, segment: str) -> tuple[str, int, str]:
-        found = self.memory.get(segment)
-        if found is None:
-            ids = self._segment(segment)
-            found = (",".join(map(str, ids)), len(ids), self._pieces_text(ids))
-            if len(segment) <= 64:  # long segments are rare and would fill the memory
-                if len(self.memory) >= self.remembered:
-                    self.memory.clear()
-                self.memory[segment] = found
+    def _remember(self, segment: str, ids: list[int]) -> tuple[str, int, str]:
+        names = self.names
+        found = (",".join([names[i] for i in ids]), len(ids), self._pieces_text(ids))
+        if len(segment) <= 64:  # long segments are rare and would fill the memory
+            if len(self.memory) >= self.remembered:
+                self.older, self.memory = self.memory, {}
+            self.memory[segment] = found
         return found
 
+    def _learned(self, segments: set[str]) -> dict[str, tuple[str, int, str]]:
+        """What segments that aren't remembered give: those of known characters together, but for what doesn't begin with
+        a space or ends with one, over whose end a piece of several spaces could reach."""
+        older, known = self.older.get, self.characters.issuperset
+        out: dict[str, tuple[str, int, str]] = {}
+        together = []
+        for s in segments:
+            found = older(s)
+            if found is not None:
+                out[s] = self.memory[s] = found
+            elif s[0] == MARK != s[-1] and known(s):
+                together.append(s)
+            else:
+                out[s] = self._remember(s, self._segment(s))
+        for s, ids in zip(together, self._runs(together), strict=True):
+            out[s] = self._remember(s, ids)
+        return out
+
     def _parts(self, text: str) -> list[tuple[str, int, str]]:
         """(ids as text, number of ids, decoded text) of every segment."""
         if not text:
@@ -196,7 +244,8 @@ class PieceModel:
         segments = _SEGMENT.findall(self.prefix + text.replace(" ", MARK))
         parts = list(map(self.memory.get, segments))
         if None in parts:
-            parts = [self._looked_up(s) if p is None else p for s, p in zip(segments, parts, strict=True)]
+            new = self._learned({s for s, p in zip(segments, parts, strict=True) if p is None})
+            parts = [new[s] if p is None else p for s, p in zip(segments, parts, strict=True)]
         return parts
 
     def _without_prefix(self, text: str) -> str:
