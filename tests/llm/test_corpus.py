@@ -265,6 +265,46 @@ def test_near_copies_at_four_fifths(spark):
     assert sum(got[i] != want[i] for i in want) <= 2 and all(got[10 * k + 2] == 10 * k + 2 for k in range(30))
 
 
+def jaccard(x, y):
+    s, t = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (x.split(), y.split()))
+    return len(s & t) / len(s | t)
+
+
+def alike_components(texts):
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def edited(rng, words, count):
+    out = list(words)
+    for at in rng.sample(range(len(words)), count):
+        out[at] = f"w{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_near_copies_of_one_base_and_of_one_vocabulary(spark):
+    rng = random.Random(11)
+    base = prose(rng, 300).split()
+    texts = {k: edited(rng, base, 6) for k in range(40)} | {60: " ".join(base)}  # each is like the base only
+    other = prose(rng, 200).split()
+    shuffled = [rng.sample(other, 200) for _ in range(2)]
+    texts |= {100: " ".join(shuffled[0]), 101: " ".join(shuffled[1]), 102: " ".join([*shuffled[1][5:], *shuffled[1][:5]])}
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    want = alike_components(texts)
+    assert got == want and want[60] == 0 and want[102] == 101 and jaccard(texts[0], texts[1]) < 0.8
+
+
 # --- Merkle
 
 
