@@ -305,6 +305,19 @@ def test_near_copies_of_one_base_and_of_one_vocabulary(spark):
     assert got == want and want[60] == 0 and want[102] == 101 and jaccard(texts[0], texts[1]) < 0.8
 
 
+def test_near_copies_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    texts, close = {}, 0
+    for k in range(150):
+        words = prose(rng, rng.choice([20, 60, 150, 400])).split()
+        near = edited(rng, words, max(1, round(len(words) * rng.uniform(0.018, 0.027))))
+        close += 0.8 <= jaccard(" ".join(words), near) <= 0.85
+        texts |= {2 * k: " ".join(words), 2 * k + 1: near}
+    assert close > 40
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert got == alike_components(texts)
+
+
 # --- Merkle
 
 
