@@ -59,15 +59,15 @@ def order_key(seed: int, epoch: Column, ident: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(ident.cast("string"), F.lit(""))))
 
 
-def selection(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], fraction: float = 0.5, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(id, domain, lang, source, n_tokens, epochs, extra_tokens) of every row.
+def selection(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], fraction: float = 0.5, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, domain, lang, source, n_tokens, epochs, extra_tokens and the columns ``keep``) of every row.
 
     The budget is ``fraction`` of all tokens, rounded down. A row is taken ``epochs`` times whole, and of one epoch
     more its first ``extra_tokens`` tokens. Null labels are the empty name; null and empty texts have no tokens and
     are taken as often as their leaf is gone through whole. Rows of one id stand together in an epoch, shorter first.
     No leaf is sorted as a whole: sums over 4096 ranges of the order key find the range where its budget ends.
     """
-    named = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), tokens(text_col).alias("n_tokens"))
+    named = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), tokens(text_col).alias("n_tokens"), *keep)
     rows = written(named.withColumn("domain", F.coalesce(F.col("domain").cast("string"), F.lit(""))), "mixing-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     amount = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).cast("long").alias("budget")).first()["budget"] or 0
@@ -80,17 +80,18 @@ def selection(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, i
     edge = sums.withColumn("before", before).where("before < rest and before + t >= rest").select(*LEVELS, F.col("range").alias("edge"), "before")
     marked = keyed.join(edge, list(LEVELS), "left")
     inner = marked.where("range = edge")
-    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = inner.withColumn("extra_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before") - within)))
     outer = marked.where("edge is null or range != edge").withColumn("extra_tokens", F.when(F.col("range") < F.col("edge"), F.col("n_tokens")).otherwise(0))
-    out = ["id", *LEVELS, "n_tokens", "epochs", "extra_tokens"]
+    out = ["id", *LEVELS, "n_tokens", "epochs", "extra_tokens", *keep]
     return inner.select(*out).unionByName(outer.select(*out)).withColumnRenamed("id", id_col)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as many times as it was selected; a row of which an epoch takes a part comes whole."""
-    id_col = how.get("id_col", "doc_id")
-    times = selection(docs, **how).select(F.col(id_col).alias("__id"), (F.col("epochs") + (F.col("extra_tokens") > 0).cast("long")).alias("__times"))
-    times = times.where("__id is not null").groupBy("__id").agg(F.max("__times").alias("__times")).where("__times > 0")
-    joined = docs.join(times, docs[id_col] == times["__id"])
+    """``docs`` with each row as many times as it was selected; a row of which an epoch takes a part comes whole.
+
+    Rows are told apart by a number of their own, so those of a null or repeated id go by their own selection."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-docs")
+    times = selection(rows, **how, keep=("__row",)).select("__row", (F.col("epochs") + (F.col("extra_tokens") > 0).cast("long")).alias("__times")).where("__times > 0")
+    joined = rows.join(times, "__row")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -90,6 +90,16 @@ def test_mixing_odd_rows(spark, odd, empty):
     assert mixing.mixed(odd, **how).columns == odd.columns
 
 
+def test_mixing_takes_rows_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "en", "s"), (None, "d e", "en", "s"), (1, "f g h i", "en", "s"), (2, "j", "en", "s"), (2, "k l", "en", "s"), (2, "m n o", "de", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    how = {"domain": F.lit("d"), "max_epochs": 3}
+    once = mixing.mixed(docs, weights={}, fraction=3.0, **how).collect()
+    assert Counter((r.doc_id, r.text) for r in once) == Counter({(r[0], r[1]): 3 for r in rows})
+    english = mixing.mixed(docs, weights={"lang": {"en": 1, "de": 0}}, fraction=1.6, **how).collect()
+    assert Counter((r.doc_id, r.text) for r in english) == Counter({(r[0], r[1]): 2 for r in rows if r[2] == "en"})
+
+
 # --- HTML
 
 
