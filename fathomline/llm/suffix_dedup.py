@@ -450,6 +450,18 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of UTF-8 widened so that no character is split."""
+    out = []
+    for a, b in spans:
+        while 0 < a < len(data) and data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        out.append((a, b))
+    return merged(out)
+
+
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, parts = 0, []
     for a, b in spans:
@@ -524,7 +536,7 @@ def without_copies(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
-            new = [kept_bytes(t.encode(), s).decode(errors="ignore") if s else t for t, s in zip(texts, _spans(batch), strict=True)]
+            new = [kept_bytes(d := t.encode(), whole_characters(d, s)).decode() if s else t for t, s in zip(texts, _spans(batch), strict=True)]
             cols = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -517,3 +517,11 @@ def test_pipeline(spark, sf):
     assert kept <= set(first.values()) and len(kept) > 0.9 * len(first)
     assert seen["SentencePiece"][1].count() == seen["SentencePiece"][0].count()
     assert corpus_pipeline.run(spark, sf).count() == seen["SentencePiece"][1].count()
+
+
+def test_cuts_inside_characters_make_no_new_one(spark):
+    shared = "pack my box with five dozen jugs of liquor while 1234567890 foxes jump"
+    docs = spark.createDataFrame([(1, f"aaaa é{shared}ш one"), (2, f"bbb ũ{shared}т two")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.without_copies(docs).collect()}
+    assert got == {1: f"aaaa é{shared}ш one", 2: "bbb  two"}
+    assert suffix_dedup.whole_characters("aéé b".encode(), [(2, 4), (6, 7)]) == [(1, 5), (6, 7)]
