@@ -3,13 +3,15 @@
 Every page scores its own containers and votes for the generalised tag-class path of the best one. Spark counts the
 votes of each host; the winning path is then extracted from all its pages, so that a page whose own scores mislead it
 follows its host. A page that lacks the path keeps its own choice.
+
+Names of classes, ids and roles are weights, not verdicts: an element that its names speak against is left out unless
+it holds most of the page's text, the larger a part the more they speak against it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -21,48 +23,81 @@ from fathomline.llm.common import column_values, slices, written
 #: Fixed values of HTML: elements without an end, with raw text, that stand in a line, and that may hold an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CONTAINERS = frozenset("html body main article section div td center blockquote".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+CONTAINERS = frozenset("html body main article section div td center blockquote form".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li td th tr tbody thead".split())
-#: Elements, and words of class, id and role names, of what is not the article.
-NEVER = frozenset("nav footer aside form script style noscript iframe template svg button select textarea title head object canvas dialog menu input option".split())
-UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget widgets footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations more-stories pagination pager tags skip copyright legal disclaimer".split())
+#: Elements that are never part of an article.
+NEVER = frozenset("nav footer aside script style noscript iframe template svg button select textarea title head object canvas dialog menu input option label legend".split())
+#: Words of names that speak against an element, those of reader comments, words that speak for it, and first words
+#: after which a name says what an element lacks or goes with.
+UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget widgets footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager tags skip copyright legal disclaimer".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 WANTED = frozenset("article content post entry story main body text maincontent articlebody prose".split())
+WITHOUT = frozenset("no not has have had is with without hide show js".split())
+#: The share of the page's text that an element must hold to stay, by how much its names speak against it.
+STAYS = (0.5, 0.7, 0.9)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|$)|([^<]+|<)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NUMBER = re.compile(r"\d+")
-_NAME = re.compile(r"[a-z]+|\d+")
+_WORD = re.compile(r"[a-z]+")
 
 
-@dataclass
 class Element:
-    tag: str
-    label: str
-    parent: "Element | None"
-    skip: bool
-    names: frozenset
-    score: float = 0.0
-    path: str = ""
-    #: Texts and elements in page order.
-    inside: list = field(default_factory=list)
-
-
-def _described(tag: str, rest: str, root: bool) -> tuple[str, bool, frozenset]:
-    """(generalised tag.class, not part of an article, words of its names)."""
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
-    classes = sorted({_NUMBER.sub("#", c) for c in found.get("class", "").split()})
-    names = frozenset(w for k in ("class", "id", "role") if found.get(k) for w in _NAME.findall(found[k]))
-    whole = frozenset(" ".join(found.get(k, "") for k in ("class", "id", "role")).replace("_", "-").split())
-    hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    # A name is unwanted by one of its words, unless it also says that it holds the article.
-    unwanted = bool((names | whole) & UNWANTED) and not (names & {"article", "content", "main", "post", "entry", "story"} and not names & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu", "related", "share", "reply"})
-    return ".".join([tag, *classes]), tag in NEVER or hidden or (unwanted and not root), names
-
-
-def parsed(page: str) -> Element:
-    """A tree of the page: as browsers do, a block ends an open paragraph, and end tags without a start are ignored."""
-    root = top = Element("#", "#", None, False, frozenset())
+    """A tag of the tree: ``box`` is the container around it, ``plain`` its text outside of links and of what never
+    counts, ``skip`` whether it is no part of an article."""
+
+    __slots__ = ("tag", "label", "parent", "box", "depth", "weight", "never", "skip", "score", "plain", "inside")
+
+    def __init__(self, tag: str, label: str, parent: "Element | None", weight: int = 0, never: bool = False):
+        self.tag, self.label, self.parent, self.weight, self.never, self.skip = tag, label, parent, weight, never, never
+        self.box = None if parent is None else parent if parent.tag in CONTAINERS else parent.box
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.score, self.plain = 0.0, 0
+        #: Texts and elements in page order.
+        self.inside: list = []
+
+    @property
+    def path(self) -> str:
+        labels, e = [], self
+        while e.parent is not None:
+            labels.append(e.label)
+            e = e.parent
+        return "/".join(["", *reversed(labels)])
+
+
+def name_weight(name: str) -> int:
+    """What one class, id or role says: -1 to -3 against, 1 for the article. The last word of a name says what it is."""
+    words = _WORD.findall(name)
+    if not words or words[0] in WITHOUT:
+        return 0
+    if not COMMENTS.isdisjoint(words):
+        return -3
+    against = 2 if words[-1] in UNWANTED else 0 if UNWANTED.isdisjoint(words) else 1
+    return (words[-1] in WANTED or against == 2 and not WANTED.isdisjoint(words)) - against
+
+
+def _described(tag: str, rest: str) -> tuple[str, int, bool]:
+    """(generalised tag.class, weight of its names, hidden)."""
+    if not rest or rest.isspace():
+        return tag, 0, False
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), value.strip("\"'").lower())
+    classes = found.get("class", "").split()
+    weights = {w for n in (*classes, *found.get("id", "").split(), *found.get("role", "").split()) if (w := name_weight(n))}
+    # Of several names the one that says most against counts, one that speaks for the element makes up for a little.
+    weight = min(weights, default=0) + (max(weights, default=0) > 0 > min(weights, default=0))
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "style" in found and bool(_UNSEEN.search(found["style"]))
+    return ".".join([tag, *sorted({_NUMBER.sub("#", c) for c in classes})]).replace("/", "|"), weight, hidden
+
+
+def parsed(page: str) -> list[Element]:
+    """The elements of a page in page order, the root first: as browsers do, a block ends an open paragraph, and end
+    tags without a start are ignored."""
+    root = top = Element("#", "#", None)
+    order = [root]
     raw = ""
     open_tags: dict[str, int] = {}
 
@@ -106,69 +141,74 @@ def parsed(page: str) -> Element:
                 top = close(e)
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and top.tag == tag:
             top = close(top)
-        label, skip, names = _described(tag, rest, tag in ("html", "body"))
-        # A header outside of an article is the site's.
-        skip = skip or tag == "header" and not open_tags.get("article") and not open_tags.get("main")
-        new = Element(tag, label, top, top.skip or skip, names)
+        label, weight, hidden = _described(tag, rest)
+        if tag in ("html", "body"):
+            weight = 0
+        elif tag == "form" or tag == "header" and not open_tags.get("article") and not open_tags.get("main"):
+            weight = min(weight, -1 if tag == "form" else -2)  # a header outside of an article is the site's
+        new = Element(tag, label, top, weight, hidden or tag in NEVER)
         top.inside.append(new)
+        order.append(new)
         if tag in VOID or rest.endswith("/") and tag not in CLOSES_P:
             continue
         top = new
         open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in RAW:
             raw = tag
-    return root
-
-
-def _walk(e: Element, path: str, links: bool, out: list[Element]) -> tuple[int, int]:
-    """Paths and scores of containers from their texts; an element's own (characters, characters in links)."""
-    length = linked = 0
-    stack = [(e, path, links, iter(e.inside), [0, 0])]
-    while stack:
-        e, path, links, rest, sums = stack[-1]
-        for child in rest:
-            if isinstance(child, str):
-                n = len(child.strip())
-                sums[0] += n
-                sums[1] += n if links else 0
-            elif not child.skip:
-                child.path = f"{path}/{child.label}"
-                stack.append((child, child.path, links or child.tag == "a", iter(child.inside), [0, 0]))
-                break
-        else:
-            stack.pop()
-            if e.tag in CONTAINERS:
-                out.append(e)
-                gain = max(0.0, sums[0] - 2.0 * sums[1])
-                holder, share = e, 1.0
-                while holder is not None and share > 0.1:
-                    if holder.tag in CONTAINERS:
-                        holder.score += gain * share
-                        share *= 0.5
-                    holder = holder.parent
-            elif stack:
-                stack[-1][4][0] += sums[0]
-                stack[-1][4][1] += sums[1]
-            length, linked = sums
-    return length, linked
-
-
-def containers(root: Element) -> list[Element]:
-    """The page's containers with path and score: their text without links, and half of it for what holds them."""
-    out: list[Element] = []
-    _walk(root, "", False, out)
+    for e in reversed(order):
+        e.plain += sum(len(x.strip()) for x in e.inside if isinstance(x, str))
+        if e.parent is not None and not e.never and e.tag != "a":
+            e.parent.plain += e.plain
+    for e in order[1:]:
+        against = min(-e.weight, len(STAYS))
+        e.skip = e.parent.skip or e.never or against > 0 and e.plain <= STAYS[against - 1] * root.plain
+    return order
+
+
+def containers(order: list[Element]) -> list[Element]:
+    """The page's containers that aren't skipped, with their scores: text without links, and half of it for what holds
+    them, twice as much for articles and half as much again for names that speak for them."""
+    sums = {id(order[0]): [0, 0]}
+    linked: set[int] = set()
+    for e in order[1:]:  # page order: what holds an element comes before it
+        if not e.skip:
+            if e.tag == "a" or id(e.parent) in linked:
+                linked.add(id(e))
+            sums[id(e)] = [0, 0]
+    out = []
+    for e in reversed(order):
+        own = sums.get(id(e))
+        if own is None:
+            continue
+        n = sum(len(x.strip()) for x in e.inside if isinstance(x, str))
+        own[0] += n
+        own[1] += n if id(e) in linked else 0
+        if e.tag not in CONTAINERS:
+            if e.parent is not None:
+                above = sums[id(e.parent)]
+                above[0] += own[0]
+                above[1] += own[1]
+            continue
+        out.append(e)
+        gain, holder, share = max(0.0, own[0] - 2.0 * own[1]), e, 1.0
+        while holder is not None and share > 0.1:
+            holder.score += gain * share
+            share *= 0.5
+            holder = holder.box
     for e in out:
         if e.tag in ("article", "main"):
             e.score *= 2.0
-        elif e.names & WANTED:
+        elif e.weight > 0:
             e.score *= 1.5
-        elif e.tag in ("html", "body"):
+        elif e.weight < 0 or e.tag in ("html", "body"):
             e.score *= 0.5
+    out.reverse()
     return out
 
 
 def best(found: list[Element]) -> Element | None:
-    return max(found, key=lambda e: (e.score, -len(e.path)), default=None)
+    """The container of the highest score; of equal ones the one that is least deep, then the first."""
+    return max(found, key=lambda e: (e.score, -e.depth), default=None)
 
 
 def main_text(e: Element) -> str:
@@ -196,27 +236,30 @@ def vote(page: str) -> tuple[str, float] | None:
     return (e.path, e.score) if e is not None and e.score > 0 else None
 
 
+def on_path(order: list[Element], path: str) -> set[int]:
+    """Which elements (by identity) a path leads to, found from the root down."""
+    labels = path.split("/")[1:]
+    along, ends = {id(order[0])}, set()
+    for e in order[1:]:
+        if e.depth <= len(labels) and e.label == labels[e.depth - 1] and id(e.parent) in along:
+            along.add(id(e))
+            if e.depth == len(labels):
+                ends.add(id(e))
+    return ends
+
+
 def extracted(page: str, path: str | None) -> tuple[str, str]:
     """(text, path it came from): all containers of the winning path, else the page's own best, else the whole page."""
-    root = parsed(page)
-    found = containers(root)
-    chosen = [e for e in found if path and e.path == path and e.score > 0]
+    order = parsed(page)
+    found = containers(order)
+    ends = on_path(order, path) if path else set()
+    chosen = [e for e in found if id(e) in ends and e.score > 0]
     if not chosen:
         own = best(found)
-        chosen = [own] if own is not None and own.score > 0 else [root]
-    order = {id(e): k for k, e in enumerate(_in_order(root))} if len(chosen) > 1 else {}
-    chosen.sort(key=lambda e: order.get(id(e), 0))
+        chosen = [own] if own is not None and own.score > 0 else [order[0]]
     return " ".join(t for t in map(main_text, chosen) if t), chosen[0].path
 
 
-def _in_order(root: Element) -> Iterator[Element]:
-    stack = [root]
-    while stack:
-        e = stack.pop()
-        yield e
-        stack.extend(c for c in reversed(e.inside) if not isinstance(c, str))
-
-
 def host(url: str) -> F.Column:
     """Host of a url in lower case without port; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -243,6 +286,9 @@ def winners(counted: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, path) of every row. Null and empty pages have an empty text; pages without a host vote together.
 
+    Repeated rows stay repeated, other columns aren't read. Pages of a host that vote evenly follow the path that sorts
+    first. A page's tree is held by its task, some 700 bytes a tag.
+
     The vote is counted with map-side sums, so a host of very many pages is a few rows a task. Pages of such a host
     meet its one winning row in a join that Spark can split.
     """

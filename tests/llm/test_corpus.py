@@ -133,6 +133,47 @@ def test_html_query_takes_the_article(spark, sf):
         assert r.text.startswith(first) and "&copy;" not in r.text and "©" not in r.text and r.n_chars == len(r.text)
 
 
+def test_html_names_are_weights():
+    body = "The article goes on, with commas and whole sentences. " * 6
+    for page in (
+        "<body><nav>menu</nav><article title='a hidden gem'><p>{}</p></article>", "<div style='overflow: hidden'>{}</div>",
+        "<body><form id=aspnetForm><div class=menu>Home</div><div class=content><p>{}</p></div><label>Mail</label></form>",
+        "<div class='page no-sidebar'><p>{}</p></div>", "<body class=has-header><div class='has-header'>{}</div>", "<div class=related-post-body>{}</div>",
+        "<div class='comments-open'><main>{}</main><ol class=commentlist><li><article class=comment-body>" + body * 4 + "</article></ol></div>",
+        "<div id=wrap><p>{}</p><div class='site-footer'>Imprint</div><div style='display:none'>no</div><div class='cookie-notice'>We use some</div><p hidden>x</p></div>",
+    ):
+        assert html_extraction.extracted(page.format(body), None)[0] == body.strip(), page
+    assert [html_extraction.name_weight(x) for x in ("no-sidebar", "related-post-body", "comment-body", "site-footer", "article-header", "sidebar-wrap", "entry", "x1")] == [0, 0, -3, -2, -1, -1, 1, 0]
+
+
+def test_html_deep_and_tied_pages():
+    import tracemalloc
+
+    tracemalloc.start()
+    deep = "<div>" * 100_000 + "deep"
+    assert html_extraction.extracted(deep, "/div" * 100_000)[0] == "deep" and html_extraction.extracted(deep, "/p")[0] == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert html_extraction.extracted("<div><p>one two</p></div><div><p>two one</p></div>", None) == ("one two", "/div")  # a tie: the first
+    assert html_extraction.extracted("<div><p>one two</p></div><div><p>two one</p></div>", "/div") == ("one two two one", "/div")
+    assert len(html_extraction.extracted("<p>" + "word " * 400_000, None)[0]) == 1_999_999
+
+
+def test_html_votes_are_counted_as_by_hand(spark, sf):
+    rng = random.Random(4)
+    rows = [(i, f"http://h{i % 3}.example/{i}" if i % 7 else None, f"<div class={rng.choice('ab')}><p>{prose(rng, rng.randint(1, 30))}</p></div><div class=c>{prose(rng, rng.randint(1, 30))}</div>", 1, "x", "y") for i in range(60)]
+    rows += [(61, "http://h0.example/t", "<div class=z>tie</div>", None, None, None)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path int, host string, id string").repartition(4)
+    ballots: dict[str, Counter] = {}
+    host = lambda u: u.split("/")[2] if u else ""
+    for r in rows:
+        if v := html_extraction.vote(r[2]):
+            ballots.setdefault(host(r[1]), Counter())[v[0]] += 1
+    won = {h: min(c, key=lambda p: (-c[p], p)) for h, c in ballots.items()}
+    got = Counter((r.page_id, r.url, r.text, r.path) for r in html_extraction.extract(pages).collect())
+    assert got == Counter((r[0], r[1], *html_extraction.extracted(r[2], won.get(host(r[1])))) for r in rows)
+
+
 # --- chat formatting
 
 
