@@ -16,8 +16,9 @@ from fathomline.llm.common import written
 LEVELS = ("domain", "lang", "source")
 #: What counts as a token here: a run of characters without ASCII white space.
 TOKEN = "[^\\x20\\x09-\\x0D]+"
-#: Hex digits of the order key by which a leaf's documents are summed before any are sorted.
-_COARSE = 3
+#: Hex digits of the order key by which a leaf's documents are summed, first roughly, then in the one range where its
+#: budget ends, before any are sorted: the range that is sorted has about a 65536th of the leaf.
+_COARSE, _FINE = 2, 4
 
 
 def tokens(text: str) -> Column:
@@ -59,39 +60,68 @@ def order_key(seed: int, epoch: Column, ident: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(ident.cast("string"), F.lit(""))))
 
 
-def selection(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], fraction: float = 0.5, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, domain, lang, source, n_tokens, epochs, extra_tokens and the columns ``keep``) of every row.
+def _named(docs: DataFrame, domain: Column, lang_col: str, source_col: str, text_col: str, *columns: Column) -> DataFrame:
+    """``columns`` with the leaf and the tokens of each row; null labels are the empty name."""
+    rows = docs.select(*columns, domain.cast("string").alias("domain"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), tokens(text_col).alias("n_tokens"))
+    return rows.fillna("", list(LEVELS))
 
-    The budget is ``fraction`` of all tokens, rounded down. A row is taken ``epochs`` times whole, and of one epoch
-    more its first ``extra_tokens`` tokens. Null labels are the empty name; null and empty texts have no tokens and
-    are taken as often as their leaf is gone through whole. Rows of one id stand together in an epoch, shorter first.
-    No leaf is sorted as a whole: sums over 4096 ranges of the order key find the range where its budget ends.
-    """
-    named = docs.select(F.col(id_col).alias("id"), domain.alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), tokens(text_col).alias("n_tokens"), *keep)
-    rows = written(named.withColumn("domain", F.coalesce(F.col("domain").cast("string"), F.lit(""))), "mixing-rows")
+
+def _selected(rows: DataFrame, weights: dict[str, dict[str, int]], fraction: float, max_epochs: int, seed: int, ties: list[str]) -> DataFrame:
+    """``rows`` (id, the leaf, n_tokens and more) with epochs and extra_tokens.
+
+    What each leaf gives and where in its order it ends is a row for each leaf, written so that its size is known: few
+    are sent to the rows, many are met in a join. Only rows of the range where a leaf ends are shuffled and sorted."""
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     amount = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).cast("long").alias("budget")).first()["budget"] or 0
     shares = budgets(leaves, amount, weights=weights, max_epochs=max_epochs)
     # Leaves without tokens have nothing to give and count as gone through not at all.
-    shares = written(shares.withColumn("epochs", F.expr("if(tokens > 0, share div tokens, 0)")).withColumn("rest", F.expr("if(tokens > 0, share % tokens, 0)")).drop("tokens"), "mixing-shares")
-    keyed = rows.join(shares, list(LEVELS)).withColumn("key", order_key(seed, F.col("epochs"), F.col("id"))).withColumn("range", F.substring("key", 1, _COARSE))
-    sums = keyed.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = sums.withColumn("before", before).where("before < rest and before + t >= rest").select(*LEVELS, F.col("range").alias("edge"), "before")
-    marked = keyed.join(edge, list(LEVELS), "left")
-    inner = marked.where("range = edge")
-    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = inner.withColumn("extra_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before") - within)))
+    shares = written(shares.withColumn("epochs", F.expr("if(tokens > 0, share div tokens, 0)")).withColumn("rest", F.expr("if(tokens > 0, share % tokens, 0)")).select(*LEVELS, "epochs", "rest"), "mixing-shares")
+    key = order_key(seed, F.col("epochs"), F.col("id"))
+    keyed = rows.select("id", *LEVELS, "n_tokens").join(shares, list(LEVELS)).withColumn("key", key)
+    edge = None
+    for digits in (_COARSE, _FINE):
+        inside = keyed.withColumn("before", F.lit(0).cast("long")) if edge is None else keyed.join(edge, list(LEVELS)).where(F.col("key").startswith(F.col("edge")))
+        sums = inside.groupBy(*LEVELS, F.substring("key", 1, digits).alias("range")).agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        so_far = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(so_far, F.lit(0)))
+        edge = written(sums.where("before < rest and before + t >= rest").select(*LEVELS, F.col("range").alias("edge"), "before"), "mixing-edge")
+    ends = written(shares.join(edge, list(LEVELS), "left"), "mixing-ends")
+    marked = rows.join(ends, list(LEVELS)).withColumn("key", key).withColumn("range", F.substring("key", 1, _FINE))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "id", "n_tokens", *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = marked.where("range = edge").withColumn("extra_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before") - within)))
     outer = marked.where("edge is null or range != edge").withColumn("extra_tokens", F.when(F.col("range") < F.col("edge"), F.col("n_tokens")).otherwise(0))
-    out = ["id", *LEVELS, "n_tokens", "epochs", "extra_tokens", *keep]
-    return inner.select(*out).unionByName(outer.select(*out)).withColumnRenamed("id", id_col)
+    return inner.unionByName(outer).drop("rest", "edge", "before", "key", "range")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as many times as it was selected; a row of which an epoch takes a part comes whole.
+def selection(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], fraction: float = 0.5, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(id, domain, lang, source, n_tokens, epochs, extra_tokens) of every row.
 
-    Rows are told apart by a number of their own, so those of a null or repeated id go by their own selection."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-docs")
-    times = selection(rows, **how, keep=("__row",)).select("__row", (F.col("epochs") + (F.col("extra_tokens") > 0).cast("long")).alias("__times")).where("__times > 0")
-    joined = rows.join(times, "__row")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    The budget is ``fraction`` of all tokens, rounded down. A row is taken ``epochs`` times whole, and of one epoch
+    more its first ``extra_tokens`` tokens. Null labels are the empty name; null and empty texts have no tokens and
+    are taken as often as their leaf is gone through whole. Rows of one id stand together in an epoch, shorter first.
+    No leaf is sorted as a whole: sums over ranges of the order key find the range where its budget ends.
+    """
+    rows = written(_named(docs, domain, lang_col, source_col, text_col, F.col(id_col).alias("id")), "mixing-rows")
+    out = _selected(rows, weights, fraction, max_epochs, seed, [])
+    return out.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "epochs", "extra_tokens")
+
+
+def first_tokens(text: Column, n: Column) -> Column:
+    """A text up to the end of its ``n``-th token."""
+    each = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{TOKEN}"), F.lit(0))
+    return F.array_join(F.slice(each, F.lit(1), n.cast("int")), "")
+
+
+def mixed(docs: DataFrame, *, domain: Column, weights: dict[str, dict[str, int]], fraction: float = 0.5, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as many times as ``selection`` takes it; the one document of a leaf in which its budget
+    ends comes with its first tokens. So a leaf gives exactly its share of tokens.
+
+    Rows are told apart by a number of their own, so those of a null or repeated id go by their own selection. Rows
+    without tokens come as often as their leaf is gone through whole. An empty table gives an empty one."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = written(_named(docs, domain, lang_col, source_col, text_col, whole, F.col(id_col).alias("id")).withColumn("row", F.monotonically_increasing_id()), "mixing-docs")
+    taken = _selected(rows, weights, fraction, max_epochs, seed, ["row"])
+    taken = taken.withColumn("times", F.col("epochs") + (F.col("extra_tokens") > 0).cast("long")).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    text = F.col("doc")[text_col]
+    cut = F.when((F.col("copy") > F.col("epochs")) & (F.col("extra_tokens") < F.col("n_tokens")), first_tokens(text, F.col("extra_tokens"))).otherwise(text)
+    return taken.select(*[(cut if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

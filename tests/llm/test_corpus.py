@@ -62,12 +62,75 @@ def test_language_odd_rows(spark, odd, empty):
     assert language_id.predicted(empty, model).count() == 0
 
 
-def test_language_backs_off_to_shorter_grams():
-    table = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.7, 0.3]], np.float32))
-    m = language_id.LanguageModel(["aa", "bb"], {"known": 0}, {(3, "xyz"): 1, (1, "k"): 2}, table, 5, -9.0)
-    s = language_id.Scorer(m)
-    assert s.predict("known")[0] == "aa" and s.predict("wxyzw")[0] == "bb" and s.predict("kkk")[0] == "aa"
-    assert np.allclose(s.back_off("wxyzw"), table[1]) and np.allclose(s.back_off("qqq"), [-9, -9])
+def words_by_hand(text):
+    import regex
+
+    return [w for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()) if regex.search(r"\p{L}", w)]
+
+
+def grams_by_hand(word, n):
+    marked = f" {word} " if n > 1 else word
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
+def test_language_words_and_grams_are_those_of_a_plain_version(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["Héllo, WORLD x", None, "½ ² Ⅷ 12 _ !", "हिन्दी ไทยนี้ a\u0301b", "", "é" * 300 + " b"]
+    text, word, each = language_id.tokenized(pa.array(texts, pa.string()))
+    got = [[] for _ in texts]
+    for t, w in zip(text, word, strict=True):
+        got[t].append(each[w].as_py())
+    assert got == [words_by_hand(t or "") for t in texts] and got[2] == [] and len(got[3]) == 3
+    words = ["a", "bc", "défghij", "नी", "x" * 40, "😀z"]
+    for step in (language_id.STEP, 7):
+        monkeypatch.setattr(language_id, "STEP", step)
+        found = Counter((size, int(w), int(h)) for size, ws, hs in language_id.grams(words, 5) for w, h in zip(ws, hs, strict=True))
+        assert found == Counter((n, k, language_id.gram_hash(g)) for k, w in enumerate(words) for n in range(1, 6) for g in grams_by_hand(w, n))
+    assert list(language_id.grams([], 5)) == []
+
+
+def test_language_model_is_that_of_a_plain_version(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text", "lang").limit(120).collect()
+    learned, asked = docs[:80], docs[80:] + [(900, "qqqq zzzz жжж", None), (901, "½", None)]
+    model = language_id.train(spark.createDataFrame(learned, "doc_id long, text string, lang string"), max_words=10**6, max_grams=10**6)
+    counts, totals = {}, Counter()
+    for r in learned:
+        for w in words_by_hand(r.text or "") if r.lang else []:
+            for key in [(0, w), *((n, g) for n in range(1, 6) for g in grams_by_hand(w, n))]:
+                counts.setdefault(key, Counter())[r.lang] += 1
+                totals[r.lang, key[0]] += 1
+    langs = sorted({r.lang for r in learned if r.lang})
+    kinds = Counter(size for size, _ in counts)
+    log = {key: np.log([(c[x] + 0.5) / (totals[x, key[0]] + 0.5 * kinds[key[0]]) for x in langs]) for key, c in counts.items()}
+    floor = min(v.min() for v in log.values())
+
+    def score(word):
+        if (0, word) in log:
+            return log[0, word]
+        for n in range(5, 0, -1):
+            if found := [log[n, g] for g in grams_by_hand(word, n) if (n, g) in log]:
+                return np.mean(found, axis=0)
+        return np.full(len(langs), floor)
+
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language_id.predicted(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    for i, text, _ in asked:
+        words = words_by_hand(text or "")
+        if not words:
+            assert got[i] == ("und", 0.0)
+            continue
+        mean = np.mean([score(w) for w in words], axis=0)
+        assert got[i][0] == langs[int(mean.argmax())] and abs(got[i][1] - 1 / np.exp((mean - mean.max()) * min(len(words), 10)).sum()) < 1e-4
+
+
+def test_language_model_bound_cuts_classes_and_keeps_all_counts(spark):
+    rows = [("aa", "both " * 9 + " ".join(f"w{chr(97 + k // 6)}{chr(97 + k % 6)}" for k in range(36))), ("bb", "both other other"), ("cc", "x" * 300_000)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"), max_words=30, max_grams=600)
+    words = model.words.to_pylist()
+    assert 5 <= len(words) <= 18 and {"both", "other"} <= set(words) and len(words) == len(set(words))
+    both = np.exp(model.word_table[words.index("both")])
+    assert np.allclose(both, [(9 + 0.5) / (45 + 0.5 * len(words)), 1.5 / (3 + 0.5 * len(words)), 0.5 / (1 + 0.5 * len(words))], rtol=1e-3)
+    assert len(model.gram_table) <= 700
 
 
 # --- mixing
@@ -100,6 +163,24 @@ def test_mixing_takes_rows_of_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in english) == Counter({(r[0], r[1]): 2 for r in rows if r[2] == "en"})
 
 
+def test_mixing_gives_each_leaf_its_share_of_tokens(spark, odd):
+    rng = random.Random(6)
+    rows = [(i % 50, prose(rng, rng.randint(0, 30)).replace(" ", rng.choice([" ", "\n ", "\t"])), rng.choice(["en", "de", None]), rng.choice("abc")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    how = {"domain": F.col("source"), "weights": {"lang": {"en": 3}}, "fraction": 0.7, "max_epochs": 2}
+    leaf = lambda r: (r.lang or "", r.source)
+    want, got = Counter(), Counter()
+    for r in mixing.selection(docs, **how).collect():
+        want[leaf(r)] += r.epochs * r.n_tokens + r.extra_tokens
+    mixed = mixing.mixed(docs, **how).collect()
+    for r in mixed:
+        got[leaf(r)] += len(r.text.split())
+    assert +got == +want and sum(want.values()) > 0.69 * sum(len(r[1].split()) for r in rows)
+    whole = Counter((r[0], r[1], r[2], r[3]) for r in rows)
+    cut = [r for r in mixed if tuple(r) not in whole]
+    assert len(cut) <= len(want) and all(any(r[1].startswith(c.text) and r[0] == c.doc_id for r in rows) for c in cut)
+
+
 # --- HTML
 
 
