@@ -12,12 +12,14 @@ character, so nothing merges across such a border and segments can be encoded ap
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.common import column_values, per_row
 
@@ -59,13 +61,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceModel:
-    """A byte-fallback BPE vocabulary read from a ``.model`` file, with an encoder and a decoder."""
-
-    def __init__(self, path: str, remembered: int = 100_000):
-        with open(path, "rb") as f:
-            message = list(_fields(f.read()))
-        import struct
+    """A byte-fallback BPE vocabulary from the bytes of a ``.model`` file, with an encoder and a decoder."""
 
+    def __init__(self, data: bytes, remembered: int = 100_000):
+        message = list(_fields(data))
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         scores: list[float] = []
@@ -79,6 +78,8 @@ class PieceModel:
         trainer = dict(next((_fields(v) for n, v in message if n == 2), iter(())))
         if trainer.get(3) != 2 or norm.get(2) or norm.get(4, 1):
             raise ValueError("only BPE models with the identity normalizer that keep all white space are supported")
+        if USER_DEFINED in self.kinds:
+            raise ValueError("models with user-defined pieces aren't supported")
         self.prefix = MARK if norm.get(3, 1) else ""
         self.bytes_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes_ids.items()}
@@ -266,11 +267,27 @@ class PieceModel:
 _loaded: dict[str, PieceModel] = {}
 
 
-def model(path: str) -> PieceModel:
-    """The vocabulary, loaded once in each Python process; the file must be at ``path`` on every executor."""
-    if path not in _loaded:
-        _loaded[path] = PieceModel(path)
-    return _loaded[path]
+def model(data: bytes) -> PieceModel:
+    """The vocabulary of a model file's bytes, made once in each Python process."""
+    name = hashlib.sha256(data).hexdigest()
+    if name not in _loaded:
+        _loaded[name] = PieceModel(data)
+    return _loaded[name]
+
+
+def file_bytes(spark: SparkSession, path: str) -> bytes:
+    """The bytes of a model file: the driver's own, else one that Spark can read."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
+def shared_model(docs: DataFrame, path: str):
+    """The model file's bytes on all executors: a vocabulary, of a size that doesn't depend on the documents."""
+    data = file_bytes(docs.sparkSession, path)
+    model(data)  # a model that isn't supported is refused here
+    return docs.sparkSession.sparkContext.broadcast(data)
 
 
 def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,10 +295,10 @@ def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
 
     Rows are independent: no shuffle, repeated rows stay repeated, other columns of ``docs`` are not read.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, shared = dict(docs.dtypes)[id_col], shared_model(docs, model_path)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        m = model(model_path)
+        m = model(shared.value)
         ids = [m.encode(t) for t in column_values(batch, text_col, "")]
         return {id_col: batch.column(0), "input_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([m.decode(x) for x in ids], pa.string())}
 
@@ -290,10 +307,10 @@ def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
 
 def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text, by the same encoder and decoder as ``encoded``."""
-    kind = dict(docs.dtypes)[id_col]
+    kind, shared = dict(docs.dtypes)[id_col], shared_model(docs, model_path)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        m = model(model_path)
+        m = model(shared.value)
         n, ids, back = [], [], []
         for text in column_values(batch, text_col, ""):
             count, joined, decoded = m.digest(text)
