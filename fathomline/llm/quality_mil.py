@@ -155,24 +155,35 @@ def constant(share: float) -> Model:
     return Model(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32), {k: v.astype(np.float32) for k, v in zero.items()})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 4000, most_passages: int = 48, **how) -> Model:
-    """Learn from ``labels`` (id, 0 or 1; nulls ignored), at most ``most_labels`` of them, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 4000, most_passages: int = 60_000, **how) -> Model:
+    """Learn from a bounded sample of labelled rows, whole texts each: pairs of a document and a label (0 or 1; nulls
+    ignored) in the order of a hash of the id, ``most_rows`` of them at most, and of these as many as together have
+    ``most_passages`` passages at most, which is what the driver holds (about 1 KB each).
 
-    Of a training document at most ``most_passages`` passages are used, evenly spread; scoring uses all. Both bounds
-    keep what the driver holds under ``most_labels * most_passages`` vectors. Contradicting labels of one id all count.
+    A pair that occurs several times counts once. Contradicting labels of one id all count, and all texts of one id.
     """
-    wanted = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label")).where("__id is not null and __label in (0.0, 1.0)")
-    wanted = wanted.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most_labels)
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("__doc") == F.col("__id")).select("__id", "__label", "text")  # at most most_labels rows
+    wanted = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label")).where("__id is not null and __label in (0.0, 1.0)").distinct()
+    wanted = wanted.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most_rows)
+    rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(wanted), F.col("__doc") == F.col("__id"))  # at most most_rows rows
+    named = rows.select("__id", "__label", F.xxhash64("text").alias("__text"), F.octet_length("text").alias("size")).distinct()
+    sample, held = [], 0
+    for r in named.orderBy(F.xxhash64("__id"), "__id", "__label", "__text", "size").limit(most_rows).collect():
+        n = max(1, -(-r["size"] // PASSAGE))
+        if held + n <= most_passages:
+            sample.append((r["__id"], r["__label"], r["__text"]))
+            held += n
+    kind = dict(docs.dtypes)[id_col]
+    chosen = docs.sparkSession.createDataFrame(sample, f"__id {dict(labels.dtypes)[id_col]}, __label double, __text long")
+    rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), (F.col("__doc") == F.col("__id")) & (F.xxhash64("text") == F.col("__text"))).select("__doc", "__label", "text")  # as many rows as the sample has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, counts = passages(utf8_values(batch, "text"))
             first = np.cumsum(counts) - counts
-            kept = [x[f + np.unique(np.linspace(0, c - 1, min(c, most_passages)).astype(int))] for f, c in zip(first.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(1), "x": pa.array([k.astype(np.float32).tobytes() for k in kept], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(1), "x": pa.array([x[f : f + c].tobytes() for f, c in zip(first.tolist(), counts.tolist(), strict=True)], pa.binary())})
 
-    got = rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, label double, x binary").collect()
+    got = rows.mapInArrow(run, f"id {kind}, label double, x binary").dropDuplicates().limit(len(sample)).collect() if sample else []
     got.sort(key=lambda r: (r["id"], r["label"], r["x"]))
     y = np.array([r["label"] for r in got])
     if len(set(y.tolist())) < 2:

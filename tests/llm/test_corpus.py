@@ -297,6 +297,19 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality_mil.scored(empty, quality_mil.train(empty, labels)).count() == 0
 
 
+def test_quality_sample_is_bounded_by_whole_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good text, whole. " * 200 * (i + 1) if i % 2 else "!!! ##", "x") for i in range(20)] + [(3, "again", "x")] * 3, "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_mil, "fit", lambda x, counts, y, **how: seen.append((x, counts, y)) or quality_mil.constant(0.5))
+    quality_mil.train(docs, labels)
+    quality_mil.train(docs, labels, most_passages=100)
+    quality_mil.train(docs, labels, most_rows=8)
+    assert len(seen[0][1]) == 21 and seen[0][1].sum() == sum(-(-18 * 200 * (i + 1) // 600) for i in range(1, 20, 2)) + 11
+    assert 50 < len(seen[1][0]) <= 100 and {6 * (i + 1) for i in range(1, 20, 2)} | {1} >= set(seen[1][1].tolist())
+    assert len(seen[2][1]) == 8
+
+
 def test_attention_gradient_and_weights():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 6, 200)
@@ -482,7 +495,7 @@ def test_sentencepiece_is_the_librarys():
     import sentencepiece
 
     path = queries.tokenizer_path()
-    ours, theirs = sentencepiece_bpe.model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    ours, theirs = sentencepiece_bpe.model(open(path, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(2)
     alphabet = "abcdefghijklmnop qrstuvwxyzéèüßñ  \n\t▁😀0123456789.,<>/_=-ABCDE中文\x00"
     texts = ["", " ", "  a", "▁", "<s>hi</s><unk><0x41>", " " * 50, "a" * 3000, "\n\n\n"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
@@ -504,6 +517,14 @@ def test_sentencepiece_odd_rows(spark, odd, empty):
     assert all(r.input_ids == sp.encode(r.text or "") for r in sentencepiece_bpe.encoded(odd, queries.tokenizer_path()).join(odd.select("doc_id", "text").distinct(), "doc_id").where("doc_id not in (5)").collect())
 
 
+def test_sentencepiece_model_travels_and_odd_ones_are_refused(spark, tmp_path):
+    data = open(queries.tokenizer_path(), "rb").read()
+    assert sentencepiece_bpe.file_bytes(spark, "file:" + queries.tokenizer_path()) == data
+    piece = b"\x0a\x03abc\x15" + bytes(4) + b"\x18\x04"  # a user-defined piece
+    with pytest.raises(ValueError, match="user-defined"):
+        sentencepiece_bpe.PieceModel(data + b"\x0a" + bytes([len(piece)]) + piece)
+
+
 # --- media
 
 
