@@ -550,6 +550,83 @@ def test_broken_media_give_a_reason(spark):
     assert got[0].error is None and all(got[k].error and got[k].codec is None for k in range(1, 6))
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def words(*xs):
+    return b"".join(x.to_bytes(4, "big") for x in xs)
+
+
+def plain_walk(data, at=0, end=None, path=()):
+    """Every box of a container as (path, body), written apart from the operator."""
+    end = len(data) if end is None else end
+    while at < end:
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode()
+        head = 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        yield (*path, kind), data[at + head : at + size]
+        if kind in ("moov", "trak", "mdia", "minf", "stbl", "dinf"):
+            yield from plain_walk(data, at + head, at + size, (*path, kind))
+        at += size
+    assert at == end
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 25, 240])
+def test_media_written_are_read_by_a_plain_walk(n):
+    payload = random.Random(n).randbytes(576 * n)
+    media = media_columns.container(payload)
+    found = {path[-1]: body for path, body in plain_walk(media)}
+    number = lambda b, at: int.from_bytes(b[at : at + 4], "big")
+    assert found["mdat"] == payload and number(found["stsz"], 4) == 576 and number(found["stsz"], 8) == n
+    assert number(found["stts"], 8) == n and number(found["mdhd"], 12) == 25 and number(found["mdhd"], 16) == n
+    chunks = [number(found["stco"], 8 + 4 * k) for k in range(number(found["stco"], 4))]
+    entries = [tuple(number(found["stsc"], 8 + 12 * k + 4 * j) for j in range(3)) for k in range(number(found["stsc"], 4))]
+    per = [next(c for f, c, _ in reversed(entries) if f <= k) for k in range(1, len(chunks) + 1)]
+    assert b"".join(media[o : o + 576 * c] for o, c in zip(chunks, per, strict=True)) == payload
+    keys = [number(found["stss"], 8 + 4 * k) for k in range(number(found["stss"], 4))]
+    (t,) = media_columns.tracks(media)
+    start = media.index(payload[:64])
+    assert t.keyframes() == [(start + 576 * (k - 1), start + 576 * k) for k in keys] and media_columns.samples(media, t) == payload
+
+
+def track_box(ident, *tables, handler=b"vide", edits=b""):
+    stbl = box(b"stbl", box(b"stsd", words(0, 1), box(b"abcd", bytes(78))), *tables)
+    return box(b"trak", box(b"tkhd", words(0, 0, 0, ident, 0)), edits, box(b"mdia", box(b"mdhd", words(0, 0, 0, 10, 40)), box(b"hdlr", words(0, 0), handler, bytes(12)), box(b"minf", stbl)))
+
+
+def test_media_compact_sizes_edits_shifts_and_several_tracks():
+    data = bytes(range(30))
+    head = box(b"mdat", data)
+    tables = [box(b"stts", words(0, 1, 4, 10)), box(b"ctts", words(0, 2, 2, 3, 2, 7)), box(b"stsc", words(0, 1, 1, 4, 1)), box(b"stz2", words(0, 4, 4), bytes([0x12, 0x34])), box(b"stco", words(0, 1, 8)), box(b"stss", words(0, 2, 1, 3))]
+    edits = box(b"edts", box(b"elst", words(0, 1, 500, 0, 0x10000)))
+    sound = [box(b"stts", words(0, 0)), box(b"stsc", words(0, 1, 1, 2, 1)), box(b"stsz", words(0, 0, 2, 5, 6)), box(b"stco", words(0, 1, 18))]
+    media = head + box(b"moov", box(b"mvhd", words(0, 0, 0, 100, 0)), track_box(1, *sound, handler=b"soun"), track_box(2, *tables, edits=edits))
+    a, v = media_columns.tracks(media)
+    assert v.sizes.tolist() == [1, 2, 3, 4] and v.keyframes() == [(8, 9), (11, 14)] and v.shifts == (3, 7) and v.edited == 50 and v.seconds() == 4.0
+    assert a.keyframes() == [(18, 23), (23, 29)] and media_columns.samples(media, a) == data[10:21]
+
+
+def test_media_fragments():
+    moov = box(b"moov", track_box(7), box(b"mvex", box(b"trex", words(0, 7, 1, 5, 0, 0x10000))))
+    run = lambda at: box(b"trun", words(0x205, 3, at, 0, 4, 6, 2))
+    size = len(box(b"moof", box(b"traf", box(b"tfhd", words(0, 7)), run(0))))
+    media = moov + box(b"moof", box(b"traf", box(b"tfhd", words(0, 7)), run(size + 8))) + box(b"mdat", b"abcdefghijkl")
+    (t,) = media_columns.tracks(media)
+    at = len(moov) + size + 8
+    assert t.frames == 3 and t.ticks == 15 and t.keyframes() == [(at, at + 4)] and media_columns.samples(media, t) == b"abcdefghijkl"
+
+
+def test_hostile_media_cost_little(spark):
+    tables = lambda n, size: [box(b"stts", words(0, 1, n, 1)), box(b"stsc", words(0, 1, 1, n, 1)), box(b"stsz", words(0, size, n)), box(b"stco", words(0, 1, 0))]
+    rows = [(0, box(b"moov", track_box(1, *tables(2**32 - 1, 1)))), (1, box(b"moov", track_box(1, *tables(2**32 - 1, 0)))), (2, box(b"moov", track_box(1, box(b"stco", words(0, 2**32 - 1)))))]
+    rows += [(3, box(b"moov", track_box(1, *tables(3, 10**6)))), (4, box(b"moov", track_box(7)) + box(b"moof", box(b"traf", box(b"tfhd", words(0, 7)), box(b"trun", words(0, 2**32 - 1))))), (5, b"\0\0\0\x10moov" * 30)]
+    got = {r.doc_id: r for r in media_columns.described(spark.createDataFrame([(k, bytes(m)) for k, m in rows], "doc_id long, media binary")).collect()}
+    assert len(got) == 6 and all(got[k].error and got[k].keyframes is None for k in got)
+
+
 # --- suffix arrays
 
 
