@@ -37,8 +37,8 @@ STEP, SORTED, BATCH = 1 << 20, 200_000, 8 << 20
 #: Runs of one name in a batch, and in all, beyond which its windows are dealt out by their own bytes.
 HOT_IN_BATCH, HOT = 512, 20_000
 
-_RUN = [("name", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i8"), ("count", "<i4")]
-
+#: Bytes of text for each slice of the corpus.
+PER_BUCKET = 16 << 20
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
@@ -184,19 +184,106 @@ def longest_previous(docs: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarra
     return np.maximum(before, _one_way(docs[::-1], backwards, least)[::-1])
 
 
-def later_copies(buffer: np.ndarray, at: np.ndarray, docs: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """Whether each window of the runs (first byte in ``buffer``, document, windows) has a copy in a smaller document.
+#: Multipliers of the two hashes that tell windows apart, and their numbers for each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = tuple(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES)
 
-    Runs come ordered by name; slices end between names, so that equal windows are in one slice."""
-    total = int(counts.sum())
-    window = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(at, counts)
-    owner = np.repeat(docs, counts)
+
+def window_hashes(text: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of every window of a text, by running sums of powers."""
+    out = []
+    for base, numbers in zip(_BASES, _BYTES, strict=True):
+        powers = np.full(len(text), base, np.uint64)
+        powers[:1] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        sums = np.r_[np.uint64(0), np.cumsum(numbers[text] * powers, dtype=np.uint64)]
+        undo = np.cumprod(np.r_[np.uint64(1), np.full(len(text) - length, pow(base, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+        out.append(_mixed((sums[length:] - sums[:-length]) * undo))
+    return out
+
+
+def _window_starts(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(at, counts)
+
+
+def _marked(buffer: np.ndarray, window: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window has a copy in a smaller document, by suffix order and longest previous factors."""
     order, lcp = suffix_order(buffer, window, length)
-    out = np.zeros(total, bool)
+    out = np.zeros(len(window), bool)
     out[order] = longest_previous(owner[order], lcp, length) >= length
     return out
 
 
+def later_copies(buffer: np.ndarray, at: np.ndarray, docs: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window of the runs (first byte in ``buffer``, document, windows) has a copy in a smaller document.
+
+    Runs come ordered by name; slices end between names, so that equal windows are in one slice. A name of more than
+    ``SORTED`` windows is cut further: of equal windows of one document (by 128 bits of hashes) one is sorted, and
+    different ones are sorted in parts by their hashes, so that memory doesn't grow with repetition inside of texts."""
+    total = int(counts.sum())
+    if total <= SORTED:
+        return _marked(buffer, _window_starts(at, counts), np.repeat(docs, counts), length)
+    # Runs longer than a part are cut, so that parts of about SORTED windows can be gone through one by one.
+    cuts = -(-counts // SORTED)
+    run = np.repeat(np.arange(len(counts)), cuts)
+    inside = (np.arange(len(run)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * SORTED
+    at, docs, counts = at[run] + inside, docs[run], np.minimum(counts[run] - inside, SORTED)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first hash, second hash, document, first byte) of the windows, run by run."""
+        sums, start = np.cumsum(counts), 0
+        while start < len(counts):
+            end = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + SORTED, "right")))
+            hashes = [window_hashes(buffer[a : a + c + length - 1], length) for a, c in zip(at[start:end].tolist(), counts[start:end].tolist(), strict=True)]
+            yield np.concatenate([h[0] for h in hashes]), np.concatenate([h[1] for h in hashes]), np.repeat(docs[start:end], counts[start:end]), _window_starts(at[start:end], counts[start:end])
+            start = end
+
+    def different(columns: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort(columns[2::-1])
+        columns = [c[order] for c in columns]
+        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])]
+        return [c[new] for c in columns]
+
+    seen: list[np.ndarray] | None = None
+    waiting: list[list[np.ndarray]] = []
+    for part in parts():
+        waiting.append(different(list(part)))
+        if sum(len(w[0]) for w in waiting) >= max(SORTED, len(seen[0]) if seen else 0):
+            seen, waiting = different([np.concatenate(c) for c in zip(*waiting, *([seen] if seen else []), strict=True)]), []
+    if waiting:
+        seen = different([np.concatenate(c) for c in zip(*waiting, *([seen] if seen else []), strict=True)])
+    marks = np.zeros(len(seen[0]), bool)
+    edges = np.flatnonzero(np.r_[True, seen[0][1:] != seen[0][:-1], True])  # equal windows stay together
+    start = 0
+    while start < len(marks):
+        end = int(edges[max(np.searchsorted(edges, start, "right"), np.searchsorted(edges, start + SORTED, "right") - 1)])
+        marks[start:end] = _marked(buffer, seen[3][start:end], seen[2][start:end], length)
+        start = end
+    held = _Held(*(c[marks] for c in seen[:3]))
+    return np.concatenate([held.has(first, second, doc) for first, second, doc, _ in parts()])
+
+
+class _Held:
+    """Windows of documents, found again by their hashes."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray):
+        self.first, self.doc = np.unique(first), np.unique(doc)
+        pair = np.searchsorted(self.first, first) * max(1, len(self.doc)) + np.searchsorted(self.doc, doc)
+        order = np.argsort(pair)
+        self.pair, self.second = pair[order], second[order]
+
+    def has(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(first), bool)
+        if len(self.pair):
+            i = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+            j = np.minimum(np.searchsorted(self.doc, doc), len(self.doc) - 1)
+            asked = np.flatnonzero((self.first[i] == first) & (self.doc[j] == doc))
+            pair = i[asked] * len(self.doc) + j[asked]
+            k = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            out[asked] = (self.pair[k] == pair) & (self.second[k] == second[asked])
+        return out
+
+
 def _slices(names: np.ndarray, counts: np.ndarray) -> Iterator[slice]:
     """Parts of runs ordered by name of about ``SORTED`` windows, cut between names."""
     ends = np.flatnonzero(np.r_[names[1:] != names[:-1], True]) + 1
@@ -474,13 +561,15 @@ def with_ranges(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", te
     """The rows of ``docs`` with ``__ranges``, the unmerged byte ranges that go from each text (null: none).
 
     Rows of one id are not earlier than each other; rows with a null id lose nothing and take nothing from others.
-    ``buckets`` (four to a shuffle partition) sets into how many slices the corpus is cut, so its slices stay of one
-    size as the corpus and its partitions grow.
+    ``buckets`` sets into how many slices the corpus is cut: by default one for ``PER_BUCKET`` bytes of text, and four to
+    a shuffle partition at least, so that slices stay of one size as the corpus grows.
     """
     spark = docs.sparkSession
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_BUCKET))
     ids = docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1")
     copy = F.lit(0)
     if not ids.isEmpty():  # rows of one id are told apart by their order

@@ -680,6 +680,36 @@ def test_suffix_order_and_previous_factors():
             assert got[k] == (best if best >= 20 else 0)
 
 
+def test_windows_of_a_very_frequent_name_are_sorted_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[1000:1400], data[2000:2300], data[3000:3200] = data[:400], 97, 97
+    at, counts = np.array([0, 500, 900, 1500, 2000, 2900]), np.array([450, 300, 500, 3, 251, 400])
+    docs = np.array([5, 2, 7, 2, 2, 9])
+    want = suffix_dedup.later_copies(data, at, docs, counts, 50)
+    firsts = {}
+    for a, c, d in zip(at, counts, docs, strict=True):
+        for k in range(a, a + c):
+            w = bytes(data[k : k + 50])
+            firsts[w] = min(d, firsts.get(w, d))
+    assert want.tolist() == [bool(firsts[bytes(data[k : k + 50])] < d) for a, c, d in zip(at, counts, docs, strict=True) for k in range(a, a + c)] and 100 < want.sum()
+    for part in (64, 300, 1000):
+        monkeypatch.setattr(suffix_dedup, "SORTED", part)
+        assert suffix_dedup.later_copies(data, at, docs, counts, 50).tolist() == want.tolist()
+
+
+def test_long_repetitive_texts_take_little_memory():
+    import tracemalloc
+
+    texts = [b"a" * (2 << 20), b"a" * (2 << 20), b"ab" * (1 << 20)]
+    tracemalloc.start()
+    rows = list(suffix_dedup._batch_rows(texts, np.array([3, 1, 2]), np.zeros(3, np.int32), 50, 4, 512))
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+    spans = [(int(d), int(a), int(b)) for kind, _, data, _ in rows if kind == suffix_dedup.RANGES for got in [suffix_dedup._unpacked(data, suffix_dedup._RANGE)] for d, a, b in zip(np.cumsum(got["doc"]), got["start"], got["end"], strict=True)]
+    assert suffix_dedup.merged([(a, b) for d, a, b in spans if d == 3]) == [(0, 2 << 20)] and {d for d, _, _ in spans} == {3}
+
+
 # --- components, SQL, pipeline
 
 
