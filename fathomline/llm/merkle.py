@@ -1,65 +1,110 @@
-"""Document fingerprints as Merkle trees over sections, paragraphs and their sentences, in SQL functions alone.
+"""Document fingerprints as Merkle trees over sections, paragraphs and their clauses, in SQL functions alone.
 
-A text is cut at blank lines into sections, at line ends into paragraphs and after full stops into sentences; the
-cuts lose nothing, so equal roots mean equal texts. A fingerprint is the root and, in the tree's shape, a short digest
-of each leaf: two fingerprints tell by their roots whether the texts are equal and by their branches where they differ.
+A text is cut at blank lines into sections, at line ends into paragraphs and these after marks and words that end in
+certain letters into clauses of a few words, so that what a cut depends on stands next to it and an edit moves no other
+cut. The cuts lose nothing: equal roots mean equal texts. Every branch is hashed from the hashes below it. A
+fingerprint is the whole hash of the root and a short one of every other node, in the tree's shape; two fingerprints
+are compared from the root down, and only where a branch differs is it gone into.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import written
 
-#: Hex digits of a leaf's digest that a fingerprint shows.
+#: Hex digits of a node's hash that a fingerprint shows.
 SHOWN = 8
+#: After what a paragraph is cut into clauses, and the character that is put there (one that the text has itself is
+#: followed by an empty clause or stands inside of one, so no two texts are cut alike).
+CUT, MARK = "([e\u0435\u043e.,;:!?] |[\u3002\u3001\uff0c\uff1b\uff1a\uff01\uff1f])", "\u0001"
 
 
-def fingerprint(text: Column) -> Column:
-    """root:leaf,leaf;leaf|... with ``,`` between sentences, ``;`` between paragraphs and ``|`` between sections."""
+def _digest(x: Column) -> Column:
+    return F.sha2(x, 256)
+
+
+def _shown(x: Column) -> Column:
+    return F.substring(x, 1, SHOWN)
+
 
-    def digest(x: Column) -> Column:
-        return F.sha2(x, 256)
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def fingerprint(text: Column) -> Column:
+    """root:section|section, a section hash=paragraph;paragraph and a paragraph hash-clause,clause."""
 
     def paragraph(line: Column) -> Column:
-        leaves = F.transform(F.split(line, r"\. ", -1), digest)
-        return F.struct(digest(F.array_join(leaves, ",")).alias("hash"), F.array_join(F.transform(leaves, lambda d: F.substring(d, 1, SHOWN)), ",").alias("shown"))
+        clauses = F.transform(F.split(F.regexp_replace(line, CUT, "$1" + MARK), MARK, -1), _digest)
+        return _let(F.struct(clauses.alias("c"), _digest(F.array_join(clauses, ",")).alias("hash")), lambda p: F.struct(p["hash"].alias("hash"), F.concat_ws("-", _shown(p["hash"]), F.array_join(F.transform(p["c"], _shown), ",")).alias("shown")))
 
     def section(part: Column) -> Column:
         lines = F.transform(F.split(part, "\n", -1), paragraph)
-        return F.struct(digest(F.array_join(lines["hash"], ";")).alias("hash"), F.array_join(lines["shown"], ";").alias("shown"))
+        return _let(F.struct(_digest(F.array_join(lines["hash"], ";")).alias("hash"), F.array_join(lines["shown"], ";").alias("shown")), lambda p: F.struct(p["hash"].alias("hash"), F.concat_ws("=", _shown(p["hash"]), p["shown"]).alias("shown")))
 
     sections = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), section)
-    # One pass over the tree: a fold of one step names the sections once and uses them twice.
-    return F.aggregate(F.array(sections), F.lit(""), lambda _, s: F.concat_ws(":", digest(F.array_join(s["hash"], "|")), F.array_join(s["shown"], "|")))
+    return _let(sections, lambda s: F.concat_ws(":", _digest(F.array_join(s["hash"], "|")), F.array_join(s["shown"], "|")))
 
 
 def root(fp: Column) -> Column:
     return F.substring_index(fp, ":", 1)
 
 
+def _tree(fp: Column) -> Column:
+    return F.substring_index(fp, ":", -1)
+
+
 def leaves(fp: Column) -> Column:
-    """The distinct leaves of a fingerprint."""
-    return F.array_distinct(F.split(F.substring_index(fp, ":", -1), "[|;,]"))
+    """The distinct clauses of a fingerprint."""
+    return F.array_distinct(F.split(F.regexp_replace(_tree(fp), "[0-9a-f]+[=-]", ""), "[|;,]"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal roots, else twice the leaves in both over the leaves of each (Dice)."""
-    x, y = leaves(a), leaves(b)
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    """0 to 1: 1 for equal roots, else twice the clauses in both over the clauses of each (Dice)."""
+    both = _let(F.struct(leaves(a).alias("x"), leaves(b).alias("y")), lambda s: 2.0 * F.size(F.array_intersect(s["x"], s["y"])) / (F.size(s["x"]) + F.size(s["y"])))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(both)
+
+
+def _common(x: Column, y: Column, end: str) -> Column:
+    """How many nodes from the first on have equal hashes, what is below them unseen."""
+    differ = F.array_position(F.zip_with(x, y, lambda p, q: F.substring_index(p, end, 1).eqNullSafe(F.substring_index(q, end, 1))), False)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
+
+
+def _descent(a: Column, b: Column, backwards: bool) -> Column:
+    """section.paragraph.clause of the first difference of two trees, found from the root down."""
+
+    def nodes(x: Column, between: str) -> Column:
+        parts = F.split(F.coalesce(x, F.lit("")), between, -1)
+        return F.reverse(parts) if backwards else parts
+
+    def level(x: Column, y: Column, end: str, below: Callable[[Column, Column], Column] | None) -> Column:
+        def found(s: Column) -> Column:
+            if below is None:
+                return s["k"].cast("string")
+            node = lambda side: F.substring_index(F.get(s[side], s["k"]), end, -1)
+            return F.concat_ws(".", s["k"].cast("string"), below(node("x"), node("y")))
+
+        return _let(F.struct(x.alias("x"), y.alias("y")), lambda s: _let(F.struct(s["x"].alias("x"), s["y"].alias("y"), _common(s["x"], s["y"], end).alias("k")), found))
+
+    clauses = lambda x, y: level(nodes(x, ","), nodes(y, ","), "/", None)
+    paragraphs = lambda x, y: level(nodes(x, ";"), nodes(y, ";"), "-", clauses)
+    return level(nodes(_tree(a), "[|]"), nodes(_tree(b), "[|]"), "=", paragraphs)
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Which paragraphs of ``a`` (counted from 0 over the whole text) don't occur in ``b``: empty for equal roots."""
-    mine = F.split(F.substring_index(a, ":", -1), "[|;]")
-    other = F.split(F.substring_index(b, ":", -1), "[|;]")
-    changed = F.filter(F.transform(mine, lambda p, k: F.struct(k.alias("k"), p.alias("p"))), lambda s: ~F.array_contains(other, s["p"]))
-    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.transform(changed, lambda s: s["k"]))
+    """Where two fingerprints differ: ``first``, the section.paragraph.clause of the first differing clause counted from
+    0, and ``last``, that of the last one counted from the ends. Null for equal roots."""
+    return F.when(root(a) != root(b), F.struct(_descent(a, b, False).alias("first"), _descent(a, b, True).alias("last")))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, fingerprint) of every row; null counts as the empty text, which has one empty leaf."""
+    """(id, n_chars, fingerprint) of every row; null counts as the empty text, which has one empty clause."""
     text = F.coalesce(text_col, F.lit(""))
     return docs.select(id_col, F.char_length(text).cast("long").alias("n_chars"), fingerprint(text).alias("fingerprint"))
 
@@ -77,7 +122,8 @@ def following(ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row with its fingerprint, that of its edited text and their likeness to each other and the next document's.
+    """Each row with its fingerprint, that of its edited text, their likeness to each other and the next document's, and
+    where the edit begins and ends in the tree (null if the text stays the same).
 
     The edited text keeps the first half of the code points (the longer half) and takes the rest from the beginning of
     the next document in order of id, as far as that goes. After the last comes the first, so a single document
@@ -90,22 +136,24 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     half = F.floor(F.char_length("text") / 2)
     per_id = rows.where("id is not null").groupBy("id").agg(F.min(F.char_length("text")).alias("n"), F.max(half).alias("half"), F.count("*").alias("rows"))
     order = written(following(per_id, "id"), "id-order")
-    marked = rows.select("id", "text", F.char_length("text").cast("long").alias("n"), fingerprint(F.col("text")).alias("fp"))
+    marked = rows.select("id", "text", F.char_length("text").cast("long").alias("n"))
     # Both joins take the same filtered rows, so that one exchange of the texts serves both.
     alone, marked = marked.where("id is null"), marked.where("id is not null and n is not null")
     # Every document sends the next one its half; the next one answers with its beginning and its fingerprint.
     asks = order.select(F.col("next_id").alias("at"), F.col("id").alias("asks"), F.col("half"))
     asks = asks.join(order.select(F.col("id").alias("at"), F.col("n").alias("first_n")), "at")
     # No row of an id is shorter than its shortest; put so, the join is by the id alone.
-    answers = marked.join(asks, (marked.id == asks["at"]) & (marked.n <= asks.first_n)).select("asks", F.expr("substring(text, 1, half)").alias("start"), F.col("fp").alias("next_fp"))
+    answers = marked.join(asks, (marked.id == asks["at"]) & (marked.n <= asks.first_n)).select("asks", F.expr("substring(text, 1, half)").alias("start"), fingerprint(F.col("text")).alias("next_fp"))
     if not order.where("rows > 1").isEmpty():
         answers = answers.groupBy("asks").agg(F.min_by(F.struct("start", "next_fp"), F.struct("start", "next_fp")).alias("s")).select("asks", "s.*")
-    joined = marked.join(answers, marked.id == answers.asks).select("id", "text", "n", "fp", "start", "next_fp")
+    joined = marked.join(answers, marked.id == answers.asks).select("id", "text", "n", "start", "next_fp")
     joined = joined.unionByName(alone.select("*", F.lit("").alias("start"), fingerprint(F.lit("")).alias("next_fp")))
     edited = F.concat(F.expr("substring(text, 1, n - n div 2)"), F.expr("substring(start, 1, n div 2)"))
-    out = joined.select("id", "n", "fp", "next_fp", edited.alias("edited"))
+    out = joined.select("id", "n", fingerprint(F.col("text")).alias("fp"), "next_fp", edited.alias("edited"))
     out = out.select("id", "n", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
+    out = out.withColumn("edits", edits(F.col("fp"), F.col("edited_fp")))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("edits.first").alias("first_edit"), F.col("edits.last").alias("last_edit"),
     )

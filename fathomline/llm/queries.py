@@ -98,25 +98,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _op7_sql() -> str:
-    def nested(text: str, section: str, paragraph: str, leaf: str, joined: str) -> str:
-        leaves = f"array_to_string(list_transform(string_split(l, '. '), lambda x: {leaf}), ',')"
-        lines = f"array_to_string(list_transform(string_split(s, chr(10)), lambda l: {paragraph.format(leaves)}), ';')"
-        return joined.format(f"array_to_string(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {section.format(lines)}), '|')")
+    def joined(items: str, by: str) -> str:
+        return f"array_to_string({items}, '{by}')"
+
+    def tree(text: str, shown: bool) -> str:
+        """The hashes of a text's sections, whole or with what is below them."""
+        cut = f"string_split(regexp_replace(l, '{merkle.CUT}', '\\1' || chr(1), 'g'), chr(1))"
+        paragraph = "sha256(" + joined(f"list_transform({cut}, lambda x: sha256(x))", ",") + ")"
+        section = "sha256(" + joined(f"list_transform(string_split(s, chr(10)), lambda l: {paragraph})", ";") + ")"
+        if shown:
+            paragraph = f"left({paragraph}, 8) || '-' || " + joined(f"list_transform({cut}, lambda x: left(sha256(x), 8))", ",")
+            section = f"left({section}, 8) || '=' || " + joined(f"list_transform(string_split(s, chr(10)), lambda l: {paragraph})", ";")
+        return joined(f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {section})", "|")
 
     def fp(text: str) -> str:
-        return nested(text, "sha256({})", "sha256({})", "sha256(x)", "sha256({})") + " || ':' || " + nested(text, "{}", "{}", "left(sha256(x), 8)", "{}")
+        return f"sha256({tree(text, False)}) || ':' || {tree(text, True)}"
 
     def likeness(a: str, b: str) -> str:
-        x, y = (f"list_distinct(regexp_split_to_array(split_part({k}, ':', 2), '[|;,]'))" for k in (a, b))
+        x, y = (f"list_distinct(regexp_split_to_array(regexp_replace(split_part({k}, ':', 2), '[0-9a-f]+[=-]', '', 'g'), '[|;,]'))" for k in (a, b))
         return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
 
+    def nodes(x: str, by: str, backwards: bool) -> str:
+        return f"list_reverse(string_split({x}, '{by}'))" if backwards else f"string_split({x}, '{by}')"
+
+    def common(x: str, y: str) -> str:
+        """The first place, counted from 1, at which two lists differ."""
+        return f"coalesce(nullif(list_position(list_transform(range(1, greatest(len({x}), len({y})) + 1), lambda i: {x}[i] IS NOT DISTINCT FROM {y}[i]), false), 0), len({x}) + 1)"
+
+    def descent(name: str, backwards: bool) -> str:
+        down = []
+        for k, (by, end, above) in enumerate((("|", None, None), (";", "=", 0), (",", "-", 1))):
+            x, y = (f"split_part({f}, ':', 2)" if above is None else f"split_part(coalesce({v}{above}[k{above}], ''), '{end}', 2)" for f, v in (("f1", "x"), ("f2", "y")))
+            at = common(f"x{k}", f"y{k}")
+            down.append(f"{name}{k} AS (SELECT *, {at} AS k{k} FROM (SELECT *, {nodes(x, by, backwards)} AS x{k}, {nodes(y, by, backwards)} AS y{k} FROM {'f' if above is None else f'{name}{above}'}))")
+        return ", ".join(down)
+
+    place = "CASE WHEN f1 <> f2 THEN (k0 - 1) || '.' || (k1 - 1) || '.' || (k2 - 1) END"
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
         o AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
         e AS (SELECT *, left(t, n - n // 2) || left(nt, n // 2) AS et FROM o),
-        f AS (SELECT doc_id, n, sha256(et) AS edited_sha256, {fp('t')} AS f1, {fp('et')} AS f2, {fp('nt')} AS f3 FROM e)
-        SELECT doc_id, n AS n_chars, edited_sha256, f1 AS fingerprint, f2 AS edited_fingerprint,
-               {likeness('f1', 'f2')} AS near_edited, {likeness('f1', 'f3')} AS near_next FROM f"""
+        f AS MATERIALIZED (SELECT doc_id, n, sha256(et) AS edited_sha256, {fp('t')} AS f1, {fp('et')} AS f2, {fp('nt')} AS f3 FROM e),
+        {descent('a', False)}, {descent('z', True)}
+        SELECT f.doc_id, f.n AS n_chars, f.edited_sha256, f.f1 AS fingerprint, f.f2 AS edited_fingerprint,
+               {likeness('f.f1', 'f.f2')} AS near_edited, {likeness('f.f1', 'f.f3')} AS near_next, a.p AS first_edit, z.p AS last_edit
+        FROM f JOIN (SELECT doc_id, {place} AS p FROM a2) a USING (doc_id) JOIN (SELECT doc_id, {place} AS p FROM z2) z USING (doc_id)"""
 
 
 def _op2_sql() -> str:

@@ -478,9 +478,34 @@ def test_merkle_odd_rows(spark, odd, empty):
 
 
 def test_merkle_locates_edits(spark):
-    rows = [("a. b\nc\n\nd", "a. b\nX\n\nd"), ("same", "same"), ("a\nb", "a\nb\n")]
-    got = spark.createDataFrame(rows, "x string, y string").select(merkle.edits(merkle.fingerprint(F.col("x")), merkle.fingerprint(F.col("y"))).alias("e"), (merkle.fingerprint(F.col("x")) == merkle.fingerprint(F.col("y"))).alias("same")).collect()
-    assert [(r.e, r.same) for r in got] == [([1], False), ([], True), ([], False)]
+    rows = [("a. b\nc\n\nd", "a. b\nX\n\nd"), ("same", "same"), ("a\nb", "a\nb\n"), ("one, two, three, four", "one, two, 3, four"), ("p\nq\n\nr\ns", "q\np\n\nr\ns"), ("x", "x\n\nx"), ("", "a"), ("a\x01, b", "a, \x01b"), ("e b", "e \x01b")]
+    df = spark.createDataFrame(rows, "x string, y string").select(merkle.fingerprint(F.col("x")).alias("a"), merkle.fingerprint(F.col("y")).alias("b"))
+    got = df.select(merkle.edits(F.col("a"), F.col("b")).alias("e"), (F.col("a") == F.col("b")).alias("same")).collect()
+    assert [r.same for r in got] == [False, True] + [False] * 7
+    assert [r.e and (r.e.first, r.e.last) for r in got][:7] == [("0.1.0", "1.0.0"), None, ("0.2.0", "0.0.0"), ("0.0.2", "0.0.1"), ("0.0.0", "1.0.0"), ("1.0.0", "1.0.0"), ("0.0.0", "0.0.0")]
+
+
+def test_merkle_hashes_every_branch_from_those_below(spark):
+    import re
+
+    text = "One, two; the three of it\nnext é。 one\n\n\nlast"
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    shown, tops = [], []
+    for section in text.split("\n\n"):
+        lines, hashes = [], []
+        for line in section.split("\n"):
+            clauses = [sha(c) for c in re.sub(merkle.CUT, "\\1\x01", line).split("\x01")]
+            hashes.append(sha(",".join(clauses)))
+            lines.append(hashes[-1][:8] + "-" + ",".join(c[:8] for c in clauses))
+        tops.append(sha(";".join(hashes)))
+        shown.append(tops[-1][:8] + "=" + ";".join(lines))
+    got = spark.createDataFrame([(text,)], "t string").select(merkle.fingerprint(F.col("t")).alias("f")).first().f
+    assert got == sha("|".join(tops)) + ":" + "|".join(shown) and got.count(",") >= 5
+
+
+def test_merkle_of_half_kept_texts_is_near(spark, sf):
+    got = merkle.with_edits(documents(spark, sf).select("doc_id", "text")).where("n_chars > 100").select("near_edited", "near_next").toPandas()
+    assert (got.near_edited > 0).mean() > 0.98 and (got.near_edited > got.near_next).mean() > 0.9
 
 
 def test_following_goes_round(spark):
