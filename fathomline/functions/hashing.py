@@ -66,15 +66,24 @@ def unsigned_order(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def unsigned_remainder(high: Column, low: Column, m: int) -> Column:
+    """A number of 64 bits, given as two of 32, modulo ``m`` (under 2^31), in BIGINT steps."""
+    return ((high % m) * ((1 << 32) % m) + low % m) % m
+
+
 def sketch_columns(df: DataFrame, name: str, seed: int, m: int, d: int) -> DataFrame:
-    """A row for each of the ``d`` buckets of a series, with ``bucket`` (0 to m-1) and ``sign`` (1 or -1)."""
-    h1, h2 = F.col("__h1"), F.col("__h2")
+    """A row for each of the ``d`` buckets of a series, with ``bucket`` (0 to m-1) and ``sign`` (1 or -1).
+
+    Bucket i is (h1 + i * h2) modulo 2^64 modulo m, without sign; halves of 32 bits keep that within BIGINT."""
+    if not 0 < m < 1 << 31:
+        raise ValueError("m must be positive and under 2^31")
     hashed = df.withColumn("__h1", seeded(F.col(name), seed)).withColumn("__h2", seeded(F.col(name), (seed ^ SECOND) & _M).bitwiseOR(F.lit(1)))
     rows = hashed.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
-    total = (unsigned(h1) + F.col("__i").cast("decimal(3,0)") * unsigned(h2)).cast("decimal(38,0)")
-    wrapped = total % F.lit(str(1 << 64)).cast("decimal(20,0)")
+    half = F.lit((1 << 32) - 1)
+    low = F.col("__h1").bitwiseAND(half) + F.col("__i") * F.col("__h2").bitwiseAND(half)
+    high = (F.shiftrightunsigned("__h1", 32) + F.col("__i") * F.shiftrightunsigned("__h2", 32) + F.shiftrightunsigned(low, 32)).bitwiseAND(half)
     bit = F.expr("shiftrightunsigned(__h1, __i + 1) & 1")
-    return rows.withColumn("bucket", (wrapped % F.lit(m).cast("decimal(20,0)")).cast("int")).withColumn("sign", F.when(bit == 1, 1).otherwise(-1)).drop("__h1", "__h2", "__i")
+    return rows.withColumn("bucket", unsigned_remainder(high, low.bitwiseAND(half), m).cast("int")).withColumn("sign", F.when(bit == 1, 1).otherwise(-1)).drop("__h1", "__h2", "__i")
 
 
 def view_seed(tenant_key: bytes, shard: int, epoch: int, view: int) -> int:

@@ -26,10 +26,28 @@ def logical_name(group: Column, aggregate: Column) -> Column:
     return F.concat(group, F.lit("|agg="), aggregate)
 
 
+def shortest(x: Column) -> Column:
+    """A number as its fewest digits: with an exponent of two digits or more from a million on and under a ten-thousandth."""
+    plain = F.abs(x.cast("double")).cast("string")  # digits.digits, maybe with E and an exponent
+    whole, part = F.substring_index(F.substring_index(plain, "E", 1), ".", 1), F.substring_index(F.substring_index(plain, "E", 1), ".", -1)
+    power = F.when(F.contains(plain, F.lit("E")), F.substring_index(plain, "E", -1).try_cast("int")).otherwise(0)
+    every = F.concat(whole, part)
+    digits = F.rtrim(F.ltrim(every, F.lit("0")), F.lit("0"))
+    point = F.length(whole) + power - (F.length(every) - F.length(F.ltrim(every, F.lit("0"))))
+    exponent = point - 1
+    scaled = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    fixed = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(F.length(digits) <= point, F.rpad(digits, point, F.lit("0")))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    out = F.when(x == 0, "0").when((exponent < -4) | (exponent >= 6), scaled).otherwise(fixed)
+    return F.when(x < 0, F.concat(F.lit("-"), out)).otherwise(out)
+
+
 def bound_label(bound: Column) -> Column:
-    """Upper bound of a histogram bucket as a label: whole numbers without a fraction, the last one +Inf."""
-    whole = (bound == F.floor(bound)) & (F.abs(bound) < 1e15)
-    return F.when(bound == F.lit(float("inf")), "+Inf").when(whole, bound.cast("bigint").cast("string")).otherwise(bound.cast("string"))
+    """Upper bound of a histogram bucket as a label, the last one +Inf."""
+    return F.when(bound == F.lit(float("inf")), "+Inf").otherwise(shortest(bound))
 
 
 def metric_name(name: Column) -> Column:
@@ -44,12 +62,12 @@ def group_of_series(name: Column) -> Column:
     return F.when((first > 0) & (last > first), F.substring(name, first + 1, last - first - 1))
 
 
-_SIZE = re.compile(r"\s*(\d+)\s*([KMGT]?)i?B\s*", re.I)
+_SIZE = re.compile(r"([0-9]+) ?([KMGT]?)B")
 
 
 def byte_size(text: str) -> int:
-    """A size as 16MB or 512 KB, in powers of 1024."""
+    """A size as 16MB or 512 KB, in powers of 1024; capital letters, at most one space."""
     m = _SIZE.fullmatch(text)
     if not m:
         raise ValueError(f"not a size: {text!r}")
-    return int(m[1]) << 10 * " KMGT".index(m[2].upper() or " ")
+    return int(m[1]) << 10 * " KMGT".index(m[2] or " ")

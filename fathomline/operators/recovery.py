@@ -5,16 +5,22 @@ numpy only inside a grouped map; the sketch arrives as (bucket, y) rows and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import hashing
 
 
+#: Standard deviations by which a group must stand out, and the part of the buckets that a plain support may take before
+#: groups are looked at. Fixed values.
+STANDS_OUT, CONTEXT = 6.0, 5
+
+
 @dataclass
 class Options:
     #: L1 weight: absolute if positive, else a share of the largest correlation.
@@ -101,27 +107,69 @@ def refit(a: Columns, y: np.ndarray, support: np.ndarray, ridge: float) -> np.nd
 def capped(x: np.ndarray, threshold: float, most: int) -> np.ndarray:
     """Where |x| is over the threshold, the ``most`` largest of them."""
     found = np.flatnonzero(np.abs(x) > threshold)
-    return np.sort(found[np.argsort(-np.abs(x[found]), kind="stable")[:most]])
+    if len(found) > most:
+        found = found[np.argpartition(-np.abs(x[found]), most - 1)[:most]] if most > 0 else found[:0]
+    return np.sort(found)
+
+
+def _noise(a: Columns, r: np.ndarray) -> float:
+    return float(np.linalg.norm(r) / np.sqrt(a.m))
 
 
-def by_groups(a: Columns, y: np.ndarray, groups: np.ndarray, support: np.ndarray, o: Options) -> np.ndarray:
-    """Adds whole groups whose correlation with what is unexplained stands out of noise, at most a few rounds."""
+def by_groups(a: Columns, y: np.ndarray, groups: np.ndarray, support: np.ndarray, o: Options) -> tuple[np.ndarray, list[int]]:
+    """(support, groups added): whole groups whose correlation with what is unexplained stands out of noise, at most
+    ``o.rounds``. Of a group the rows that aren't in yet are scored; it must beat its threshold, which is lower for many
+    rows, by more than any other. In the first round only groups of sqrt(m) series or more are looked at."""
+    _, groups = np.unique(groups, return_inverse=True)
+    sizes, added = np.bincount(groups), []
     for k in range(o.rounds):
         r = y - a.forward(refit(a, y, support, o.ridge))
-        sigma = float(np.median(np.abs(r - np.median(r))) / 0.6745)
-        c = a.back(r)
-        best = None
-        for g in np.unique(groups):
-            rows = np.setdiff1d(np.flatnonzero(groups == g), support)
-            if not len(rows) or k == 0 and len(rows) < np.sqrt(a.m) / 4:
-                continue
-            score = float(np.linalg.norm(c[rows]) / np.sqrt(len(rows)))
-            if score > sigma * (1 + 6 / np.sqrt(2 * len(rows))) and (best is None or score > best[0]):
-                best = (score, rows)
-        if best is None:
+        sigma = _noise(a, r)
+        if sigma == 0:
             break
-        support = np.union1d(support, best[1])
-    return support
+        fresh = np.ones(len(groups), bool)
+        fresh[support] = False
+        n = np.bincount(groups[fresh], minlength=len(sizes))
+        power = np.bincount(groups[fresh], a.back(r)[fresh] ** 2, len(sizes))
+        some = np.maximum(n, 1)
+        excess = np.sqrt(power / some) - sigma * (1 + STANDS_OUT / np.sqrt(2 * some))
+        excess[(n == 0) | (sizes < (max(2, int(np.sqrt(a.m))) if k == 0 else 1))] = 0
+        best = int(excess.argmax())
+        if excess[best] <= 0:
+            break
+        added.append(best)
+        support = np.union1d(support, np.flatnonzero(groups == best))
+    return support, added
+
+
+def group_score(a: Columns, y: np.ndarray, members: np.ndarray, o: Options) -> float:
+    """How many standard deviations a group's correlation with what a plain solve leaves is above noise; 0 for no members
+    or a perfect fit."""
+    if not len(members) or not len(a.b):
+        return 0.0
+    support = plain_support(a, y, o, a.m // CONTEXT)[0]
+    r = y - a.forward(refit(a, y, support, o.ridge))
+    sigma = _noise(a, r)
+    if sigma == 0:
+        return 0.0
+    return float((np.sqrt((a.back(r)[members] ** 2).mean()) - sigma) / (sigma / np.sqrt(2 * len(members))))
+
+
+def plain_support(a: Columns, y: np.ndarray, o: Options, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(support of at most ``most`` series, coefficients, steps) of the solve without groups."""
+    weight = o.weight if o.weight > 0 else o.weight_share * float(np.abs(a.back(y)).max())
+    raw, steps = shrunk(a, y, weight, o.most_steps)
+    return capped(raw, o.threshold, most), raw, steps
+
+
+def recover_groups(a: Columns, y: np.ndarray, groups: np.ndarray, o: Options) -> Solution:
+    """A solve that goes to groups at once, from a wider plain support than escalation starts with."""
+    if not len(a.b):
+        return Solution(np.zeros(0), np.empty(0, int), 1.0, 0, True, False)
+    plain, _, steps = plain_support(a, y, o, a.m // CONTEXT)
+    support, added = by_groups(a, y, groups, plain, o)
+    x = refit(a, y, support, o.ridge)
+    return Solution(x, support, float(np.linalg.norm(y - a.forward(x)) / (np.linalg.norm(y) or 1.0)), steps, False, bool(added))
 
 
 def recover(a: Columns, y: np.ndarray, groups: np.ndarray | None, o: Options) -> Solution:
@@ -129,16 +177,14 @@ def recover(a: Columns, y: np.ndarray, groups: np.ndarray | None, o: Options) ->
     size = float(np.linalg.norm(y))
     if not n or not size:
         return Solution(np.zeros(n), np.empty(0, int), 0.0, 0, False, False)
-    weight = o.weight if o.weight > 0 else o.weight_share * float(np.abs(a.back(y)).max())
-    raw, steps = shrunk(a, y, weight, o.most_steps)
     most = max(1, a.m // 10)
+    support, raw, steps = plain_support(a, y, o, most)
     wide = int((np.abs(raw) > o.threshold).sum()) > most
-    support = capped(raw, o.threshold, most)
     x = refit(a, y, support, o.ridge)
     residual = float(np.linalg.norm(y - a.forward(x))) / size
     grouped = False
     if groups is not None and (residual > o.escalate or wide):
-        more = by_groups(a, y, groups, support, o)
+        more, _ = by_groups(a, y, groups, support, o)
         x2 = refit(a, y, more, o.ridge)
         again = float(np.linalg.norm(y - a.forward(x2))) / size
         if again < residual:
@@ -146,34 +192,44 @@ def recover(a: Columns, y: np.ndarray, groups: np.ndarray | None, o: Options) ->
     return Solution(x, support, residual, steps, residual > o.escalate, grouped)
 
 
-def recovered(sketches: DataFrame, names: DataFrame, keys: list[str], *, seed: int, m: int, d: int, name: str = "name", group: str | None = None, options: Options | None = None) -> DataFrame:
+def recovered(sketches: DataFrame, names: DataFrame, keys: list[str], *, seed: int, m: int, d: int, name: str = "name", group: str | None = None, options: Options | None = None, emitters: int = 0) -> DataFrame:
     """(keys, name, value, residual, fallback, steps): the series found in each window's sketch.
 
     ``names`` has the view's active series, by those of ``keys`` that it has; each window is one solve, so a task holds
-    one window's buckets and its view's dictionary. Windows whose dictionary or sketch is empty find nothing.
+    one window's buckets and its view's dictionary. Windows whose dictionary or sketch is empty find nothing. With
+    ``emitters`` expected and a ``coverage`` column in ``sketches``, a window that none took part in is not solved.
     """
     o = options or Options()
     kinds = dict(sketches.dtypes)
     shared = [k for k in keys if k in names.columns]
+    present = sketches.where(F.col("coverage") > 0) if emitters and "coverage" in sketches.columns else sketches
     columns = hashing.sketch_columns(names.select(*shared, name, *([group] if group else [])), name, seed, m, d)
     per_name = columns.groupBy(*shared, name, *([group] if group else [])).agg(F.collect_list("bucket").alias("b"), F.collect_list("sign").alias("s"))
-    book = per_name.groupBy(*shared).agg(F.collect_list(F.struct(name, "b", "s", *([group] if group else []))).alias("book"))
-    frames = sketches.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "y")).alias("sketch"))
+    book = per_name.groupBy(*shared).agg(F.sort_array(F.collect_list(F.struct(name, "b", "s", *([group] if group else [])))).alias("book"))
+    frames = present.groupBy(*keys).agg(F.collect_list("bucket").alias("bucket"), F.collect_list("y").alias("y"))
+    book = book.select(*shared, F.col(f"book.{name}").alias("__names"), F.flatten("book.b").alias("__b"), F.flatten("book.s").alias("__s"), *([F.col(f"book.{group}").alias("__groups")] if group else []))
     tasks = frames.join(book, shared) if shared else frames.crossJoin(book)  # one dictionary row
 
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
+            for k in range(batch.num_rows):
+                cell = lambda c, k=k, batch=batch, at=at: batch.column(at[c])[k].values
                 y = np.zeros(m)
-                for e in row["sketch"]:
-                    y[e["bucket"]] = e["y"]
-                entries = sorted(row["book"], key=lambda e: e[name])
-                a = Columns(np.array([e["b"] for e in entries]), np.array([e["s"] for e in entries], float), m)
-                groups = np.unique([e[group] for e in entries], return_inverse=True)[1] if group else None
+                y[cell("bucket").to_numpy()] = cell("y").to_numpy()
+                found = cell("__names")
+                a = Columns(cell("__b").to_numpy().reshape(-1, d), cell("__s").to_numpy().reshape(-1, d).astype(float), m)
+                groups = cell("__groups").dictionary_encode().indices.to_numpy() if group else None
                 s = recover(a, y, groups, o)
-                out += [{**{k: row[k] for k in keys}, "name": entries[i][name], "value": float(s.values[i]), "residual": s.residual, "fallback": s.fallback, "steps": s.steps} for i in s.support.tolist()]
-            yield pd.DataFrame(out, columns=[*keys, "name", "value", "residual", "fallback", "steps"])
+                n = len(s.support)
+                same = {c: pa.array([batch.column(at[c])[k].as_py()] * n, batch.schema.field(c).type) for c in keys}
+                yield pa.RecordBatch.from_pydict({**same, "name": found.take(pa.array(s.support, pa.int64())).cast(pa.string()), "value": pa.array(s.values[s.support], pa.float64()), "residual": pa.array([s.residual] * n, pa.float64()), "fallback": pa.array([s.fallback] * n, pa.bool_()), "steps": pa.array([s.steps] * n, pa.int32())})
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "name string, value double, residual double, fallback boolean, steps int"])
-    return tasks.mapInPandas(solve, schema)
+    return tasks.mapInArrow(solve, schema)
+
+
+def deviations(solves: DataFrame, most_residual: float) -> DataFrame:
+    """An event for each series that a gated solve found: the gate first, then one row a series."""
+    ok = ~F.coalesce(F.col("fallback"), F.lit(False)) & (F.col("residual") <= most_residual)
+    return solves.where(ok).withColumn("substrate", F.lit("deviation")).withColumn("confidence", F.lit("recovered"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,29 @@ def truth_lines(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.TRUTH)
 
 
+def drained_folder(spark: SparkSession, folder: str, handle: Callable[[DataFrame], None]) -> tuple[int, int]:
+    """One poll of a folder: its frames in order of file name go to ``handle``, then files move to ``.processed``, those
+    that can't be decoded with ``.invalid`` behind their name. How many of each there were. What comes in meanwhile is
+    left to the next poll; a handler that fails leaves all files where they are."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    base = path(folder)
+    fs = base.getFileSystem(conf)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(base) if f.isFile() and f.getPath().getName().endswith(".plmp"))
+    if not names:
+        return 0, 0
+    raw = spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{n}" for n in names]).select("path", "content")
+    rows = frames.decoded(raw, keep=("path",)).withColumn("file", F.substring_index("path", "/", -1)).drop("path")
+    good, bad = split_errors(rows)
+    invalid = {r["file"] for r in bad.select("file").collect()}  # names of this poll's files alone
+    handle(good.orderBy("file"))
+    done = path(base, ".processed")
+    fs.mkdirs(done)
+    for n in names:
+        fs.rename(path(base, n), path(done, n + (".invalid" if n in invalid else "")))
+    return len(names) - len(invalid), len(invalid)
+
+
 def split_errors(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(frames, what to quarantine)."""
     return decoded.where("error is null").drop("error"), decoded.where("error is not null")
