@@ -2,11 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import written
 
+#: Edges that a task draws together at a time.
+CHUNK = 1 << 19
+
+
+def drawn_together(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges and the smallest node that they lead to, but for the smallest nodes themselves."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (label[u], label[v], u, v):  # the smaller label goes to both ends and to what they stood for
+            np.minimum.at(new, end, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v), u > v, that say the same as a task's own, part by part."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        u, v = drawn_together(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)))
+            size += batch.num_rows
+        if size >= CHUNK:
+            yield out()
+            size = 0
+    if held:
+        yield out()
+
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v), u > v, after each node's neighbours were linked to the smallest of them."""
@@ -22,19 +69,24 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return out.distinct()
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether every node but the smallest ones has one edge, which leads to a smallest one."""
+    ends = state.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(state.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     """(node, component) for every node with an edge in ``edges`` (columns a, b of one integer type).
 
     A component is named by its smallest node. Loops and nulls are ignored, directions and repeats don't matter;
-    no edges give no rows. Every round is written to the shared folder; the driver sees a count and a checksum.
+    no edges give no rows. Tasks first draw their own edges together, chunk by chunk, which keeps what they connect;
+    stars then connect the rest. Every round is written to the shared folder; the driver sees whether one is left.
     """
-    state = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    plain = edges.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    state = written(plain.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
     for _ in range(most_rounds):
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        if _settled(state):
             break
-        seen = mark
         state = written(_starred(_starred(state, True), False), "edges")
     else:
         raise RuntimeError("components didn't settle")
