@@ -33,11 +33,18 @@ def query(sql: str | Callable[[], str] | None = None):
     return put
 
 
+def _all() -> None:
+    """The other module's queries are in the same table."""
+    from fathomline.plans import more_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return {k: sql() if callable(sql) else sql for k, (_, sql) in _found.items() if sql}
 
 
@@ -265,7 +272,7 @@ def ring_lookback(spark, d):
 
 @query(f"""WITH RECURSIVE p AS (SELECT event_type AS g, CAST(floor(epoch(ts) / {3600 * HOURS}) AS BIGINT) AS w, event_id, row_number() OVER (PARTITION BY event_type ORDER BY floor(epoch(ts) / {3600 * HOURS}), ts, event_id) AS k FROM events),
            f(g, t, ids) AS (SELECT g, min(w) - 1, []::BIGINT[] FROM p GROUP BY g
-             UNION ALL SELECT f.g, f.t + 1, (SELECT list(p.k ORDER BY p.k) FROM p WHERE p.g = f.g AND p.w <= f.t + 1 AND p.w >= f.t + 1 - 2 AND NOT list_contains(f.ids, p.k))[:20] || f.ids[:400] FROM f WHERE f.t < (SELECT max(w) + 3 FROM p)),
+             UNION ALL SELECT f.g, f.t + 1, coalesce((SELECT list(p.k ORDER BY p.k) FROM p WHERE p.g = f.g AND p.w <= f.t + 1 AND p.w >= f.t + 1 - 2 AND NOT list_contains(f.ids, p.k)), [])[:20] || f.ids[:400] FROM f WHERE f.t < (SELECT max(w) + 3 FROM p)),
            s AS (SELECT g, t, unnest(ids[:20]) AS k FROM f), o AS (SELECT g, k, min(t) AS shipped FROM s GROUP BY ALL)
            SELECT p.g AS event_type, p.event_id, p.w, CASE WHEN o.shipped <= p.w + 2 THEN o.shipped END AS shipped FROM p LEFT JOIN o ON o.g = p.g AND o.k = p.k""")
 def snapshot_staging(spark, d):
@@ -615,13 +622,13 @@ def _tuned_sql() -> str:
         hh AS (SELECT g, list(y ORDER BY y) AS h FROM m WHERE k <= 40 GROUP BY g),
         t AS (SELECT g, 40::BIGINT AS k, NULL::BIGINT AS w, {start} FROM hh
               UNION ALL SELECT g, k, w, {shared} FROM (SELECT *, {loss} FROM (SELECT t.g, m.k, m.w, {", ".join(f"a{k}, w{k}" for k in k4)}, {over} FROM t JOIN m ON m.g = t.g AND m.k = t.k + 1 JOIN hh ON hh.g = t.g)))
-        SELECT g AS event_type, w, round(least(greatest({"+".join(f"a{k} * w{k}" for k in k4)}, 1e-6), 0.999), 6) AS alpha FROM t WHERE k > 40"""
+        SELECT g AS event_type, w, round(ln(least(greatest({"+".join(f"a{k} * w{k}" for k in k4)}, 1e-6), 0.999)), 6) AS log_alpha FROM t WHERE k > 40"""
 
 
 @query(_tuned_sql)
 def tuned_alphas(spark, d):
     rows = folded(spark, d).select("event_type", "w", "sum")
-    return conformal.tuned_alphas(rows, ["event_type"], "w", "sum", target=0.1, interval=50, calibration=40).withColumn("alpha", rounded("alpha"))
+    return conformal.tuned_alphas(rows, ["event_type"], "w", "sum", target=0.1, interval=50, calibration=40).select("event_type", "w", rounded(F.log("alpha")).alias("log_alpha"))
 
 
 @query()
@@ -706,13 +713,6 @@ def repaired_windows(spark, d):
     return windows.replayed(frames_of(spark, d)).withColumn("total", rounded("total"))
 
 
-@query()
-def synthetic_world(spark, d):
-    values = synthetic.world(spark, groups=30, instances=5, windows=40)
-    jumped = synthetic.applied(values, synthetic.anomalies(spark, groups=30, windows=40))
-    return jumped.groupBy("w", "grp").agg(rounded(F.sum("value")).alias("value"))
-
-
 _FREEZE = """WITH RECURSIVE {S}, m AS (SELECT g, w, sum AS v, row_number() OVER (PARTITION BY g ORDER BY w) AS k FROM f{where}),
            z(g, k, w, v, used, ref, frozen, calm, out) AS (SELECT g, 1::BIGINT, w, v, v, v, false, 1, false FROM m WHERE k = 1
              UNION ALL SELECT z.g, m.k, m.w, m.v, z.ref, CASE WHEN abs(m.v - z.ref) > {t} OR (z.frozen AND z.calm + 1 < 3) THEN z.ref ELSE m.v END,

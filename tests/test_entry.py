@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["event_type", "w", "cur", "prev"]
+    assert entry.entry(spark).columns == ["name", "w", "cur", "prev"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

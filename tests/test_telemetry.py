@@ -179,6 +179,11 @@ def test_breaker_and_heal(spark):
     births = spark.createDataFrame([("v", k // 5) for k in range(30)], "v string, w long")
     r = encode.breaker(births, ["v"], "w", 12, 10).first()
     assert (r.accepted, r.rejected, r.tripped) == (12, 18, True)
+    later = spark.createDataFrame([("v", w) for w in (0, 0, 0, 100, 101)] + [("u", w) for w in (0, 10, 20)], "v string, w long")
+    got = {r.v: (r.accepted, r.rejected, r.tripped) for r in encode.breaker(later, ["v"], "w", 2, 10).collect()}
+    assert got == {"v": (4, 1, True), "u": (3, 0, False)}  # accepts again; a birth on the edge of the span still counts
+    edge = spark.createDataFrame([("v", w) for w in (0, 10)], "v string, w long")
+    assert encode.breaker(edge, ["v"], "w", 1, 10).first().rejected == 1
     roots = spark.createDataFrame([("v", k, k not in (2, 3, 4), k % 4 == 0) for k in range(12)], "v string, w long, ok boolean, golden boolean")
     assert [tuple(r) for r in analyze.heal_times(roots, ["v"], "w", "ok", "golden").collect()] == [("v", 2, 8, 6)]
 
@@ -251,7 +256,8 @@ def test_generators(spark):
     pooled = fleet.agg(F.percentile("value", F.lit(0.95))).first()[0]
     assert pooled > fleet.groupBy("host").agg(F.percentile("value", F.lit(0.95)).alias("p")).agg(F.avg("p")).first()[0] * 1.3
     shift = synthetic.regime_shift(spark, at=200, kind="ramp", target="inputs")
-    assert shift.where("t >= 300").agg(F.avg(F.col("input_features")[0])).first()[0] > 1.5
+    share = lambda when: shift.where(when).agg(F.avg(F.col("input_features")[0])).first()[0]
+    assert share("t < 200") < 0.4 and share("t >= 300") > 0.5 and shift.where("abs(aggregate(input_features, 0d, (a, x) -> a + x) - 1) > 1e-9").count() == 0
     assert synthetic.with_incidents(synthetic.slow_burn(spark, rate=0.1), count=3, n=300).where("incident").count() >= 5
     assert synthetic.heavy_tail(spark).where("value > 10").count() > 50
     assert synthetic.month(spark, groups=4, days=2, incidents=[(3, 9, 0.5, 50.0)]).count() == 4 * 48
@@ -326,3 +332,226 @@ def test_keys_and_states(spark):
     assert analyze.any_degraded(spark.createDataFrame([(1, True), (1, False)], "shard int, degraded boolean"), ["shard"]).first().degraded
     events_ = analyze.fallback_events(spark.createDataFrame([(1, [(5, 2.0), (6, 1.0)])], "w int, top array<struct<id: long, value: double>>"))
     assert sorted((r.series_id, r.value) for r in events_.collect()) == [(5, 2.0), (6, 1.0)]
+
+
+def test_silent_series_are_reloaded_at_keyframes(spark):
+    rows = spark.createDataFrame([("s", 1, 10.0), ("s", 4, 20.0), ("s", 7, 25.0), ("s", 30, 1.0), ("s", 31, 2.0)], "name string, w long, value double")
+    lives = encode.lifetimes(rows, 9, ["name"])
+    got = {r.w: (r.life, r.baseline, r.residual) for r in encode.hold_residual(lives, 6, ["name"]).collect()}
+    assert got == {1: (1, None, 0.0), 4: (1, 10.0, 10.0), 7: (1, 20.0, 5.0), 30: (2, None, 0.0), 31: (2, 1.0, 1.0)}
+    frames_ = encode.keyframe_values(rows, 6, 9, ["name"], 36)
+    assert sorted((r.w, r.life, r.value) for r in frames_.collect()) == [(6, 1, 20.0), (12, 1, 25.0), (30, 2, 1.0), (36, 2, 2.0)]
+    assert [(r.w, r.prev) for r in encode.keyframe_drift(frames_, 4.0, ["name"]).collect()] == [(12, 20.0)]  # not over lifetimes
+    totals = {r.w: (r.total_sum, r.total_count) for r in encode.fallback_totals(encode.active_at_each_window(rows, 9, ["name"], 36), ["w"]).collect()}
+    assert totals[3] == (10.0, 1) and totals[15] == (25.0, 1) and 16 not in totals and totals[36] == (2.0, 1)
+    again = encode.rotated(rows, 10, 9, ["name"], 36).orderBy("w").collect()
+    assert [(r.w, r.epoch, r.epoch_seq, r.value) for r in again if r.reborn] == [(10, 1, 0, 25.0)]
+
+
+def test_skew_is_told_once_for_each_emitter(spark):
+    rows = [("v", 1, "a", 0.0), ("v", 1, "b", 9.0), ("v", 2, "a", 10.0), ("v", 2, "b", 19.0), ("v", 3, "b", 20.0), ("v", 3, "a", 21.0), ("v", 4, "a", 30.0), ("v", 4, "b", 31.0), ("v", 5, "a", 40.0), ("v", 5, "b", 48.0)]
+    got = analyze.clock_skew(spark.createDataFrame(rows, "view string, w long, emitter string, at double"), ["view"], "w", ["emitter"], "at", ["emitter"], 5.0)
+    assert sorted((r.emitter, r.w, r.skew) for r in got.collect()) == [("b", 1, 9.0), ("b", 5, 8.0)]  # alerts once, and again after it was well
+
+
+def test_audit_compares_what_can_be_compared(spark):
+    truth = spark.createDataFrame([(0, "s", "anomaly", 5, 6, 60.0, 160.0, 0.0), (1, "d", "drift", 0, 50, 30.0, 130.0, 0.0), (2, "b", "birth", 9, 9, 0.0, 0.0, 0.0), (3, "z", "anomaly", 8, 2, 10.0, 20.0, 0.0)], "ix long, series string, type string, window_start long, window_end long, magnitude double, expected_value double, at double")
+    found = spark.createDataFrame([("s", 5, "deviation", 57.0, 1), ("s", 6, "keyframe", 168.0, 2), ("d", 7, "deviation", 1.0, 1), ("b", 10, "deviation", 5.0, 0), ("q", 1, "keyframe", 5.0, 0), ("z", 8, "deviation", 20.0, 1)], "series string, w long, substrate string, value double, revision int")
+    m = analyze.matched_truth(found, truth, ["series"])
+    r = analyze.scores(m, truth, truth.where("type = 'birth'").select("series", F.col("window_start").alias("at")), ["series"]).first()
+    assert (r.detections, r.true_detections, r.found, r.truths, r.lifecycle_false) == (6, 4, 3, 3, 1)
+    assert r.mape == pytest.approx((0.05 + 0.05 + 1.0) / 3) and r.mape_samples == 3 and r.revision_accuracy == pytest.approx(2 / 3) and r.revision_samples == 3
+    assert {x.type: x.recall for x in analyze.recall_by_type(m, truth).collect()} == {"anomaly": 1.0, "drift": 1.0}
+
+
+def test_group_tests_choose_by_excess_over_noise():
+    rng = np.random.default_rng(3)
+    a = recovery.Columns(rng.integers(0, 300, (500, 6)), rng.choice([-1.0, 1.0], (500, 6)), 300)
+    groups = np.repeat(np.arange(25), 20)
+    x = np.where(groups == 4, 6.0, 0.0) + rng.normal(0, 0.05, 500)
+    y, o = a.forward(x), recovery.Options(threshold=2.0)
+    support, added = recovery.by_groups(a, y, groups, np.empty(0, int), o)
+    assert added[0] == 4 and set(np.flatnonzero(groups == 4)) <= set(support.tolist())
+    small = np.arange(500) // 5
+    assert recovery.by_groups(a, a.forward(np.where(small == 4, 6.0, 0.0)), small, np.empty(0, int), o)[1] == []  # too few for the first round
+    s = recovery.recover_groups(a, y, groups, recovery.Options(threshold=50.0))
+    assert s.grouped and abs(s.values[groups == 4].mean() - 6) < 0.2
+    assert recovery.group_score(a, y, np.flatnonzero(groups == 4), recovery.Options(threshold=50.0)) > 6 > recovery.group_score(a, y, np.flatnonzero(groups == 9), recovery.Options(threshold=50.0))
+    assert recovery.group_score(a, y, np.empty(0, int), o) == 0.0
+
+
+def test_coverage_gate_and_deviations(spark):
+    names = spark.createDataFrame([(f"s{k}",) for k in range(50)], "name string")
+    hit = spark.createDataFrame([("s7", 30.0, 1), ("s7", 30.0, 2)], "name string, residual double, w int")
+    y = encode.sketch(hit, ["w"], seed=9, m=200, d=6).withColumn("coverage", F.when(F.col("w") == 1, 2).otherwise(0))
+    got = recovery.recovered(y, names, ["w"], seed=9, m=200, d=6, emitters=3)
+    assert [(r.w, r.name) for r in got.collect()] == [(1, "s7")]
+    assert recovery.deviations(got, 0.5).first().substrate == "deviation" and recovery.deviations(got, -1.0).count() == 0
+
+
+def test_checksums_of_long_data():
+    slow = lambda d: __import__("functools").reduce(lambda c, b: frames._CRC_LIST[(c ^ b) & 255] ^ c >> 8, d, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    assert frames.crc32c(b"123456789") == 0xE3069283
+    for n in (0, 1, 2047, 2048, 2049, 4097, 65536, 100_001):
+        data = random.Random(n).randbytes(n)
+        assert frames.crc32c(data) == slow(data)
+
+
+def test_frames_are_built_in_one_step(spark):
+    full = [{"id": 5, "flags": 0, "init_value": 2.0, "name": "a"}]
+    gone = [{"id": 9, "flags": 1, "init_value": 0.0, "name": ""}]
+    golden = frames.built_keyframe({5: 2.0, -1: 4.0}, {}, True, frames.GZIP, [], full, gone)
+    assert golden["dict_deltas"] == full + gone and golden["flags"] == 0 and frames.read_keyframe(frames.decompress(golden["payload"], frames.GZIP)) == {5: 2.0, -1: 4.0}
+    delta = frames.built_keyframe({5: 2.5, -1: 4.0}, golden["values"], False, frames.NONE, full, [], [])
+    assert delta["quant_scale"] == pytest.approx(0.5 / 32767) and frames.read_delta_keyframe(delta["payload"], [5, -1], golden["values"], delta["quant_scale"]) == pytest.approx({5: 2.5, -1: 4.0}, abs=1e-4)
+    r = frames.built_residual(np.array([1.27, -0.5]), 8, [5], [])
+    assert frames.dequantize(r["payload"], 8, r["quant_scale"]) == pytest.approx([1.27, -0.5], abs=0.006) and frames.built_residual(np.zeros(3), 8, [], [])["quant_scale"] == 1e-6
+    rows = spark.createDataFrame([([(5, 0, 2.0, "abc" * 50)] * 3, None, b"xy"), (None, None, None)], "dict_deltas array<struct<id: bigint, flags: smallint, init_value: float, name: string>>, snapshot_blob binary, payload binary")
+    got = sorted(tuple(r) for r in frames.shadow_sizes(rows).collect())
+    assert got[0] == (0, 0, 0, 78) and got[1][0] == 3 * 165 and got[1][1] < 200 and got[1][2:] == (3, 78 + 495 + 2)
+
+
+def test_numbers_as_their_fewest_digits(spark):
+    want = {0.0: "0", 10.0: "10", 0.5: "0.5", 100000.0: "100000", 1e6: "1e+06", 1234567.0: "1.234567e+06", 0.0001: "0.0001", 0.00001: "1e-05", 1.5e-7: "1.5e-07", -2.25: "-2.25", 1e100: "1e+100", 123456.789: "123456.789", float("inf"): "+Inf", 2.5e21: "2.5e+21", 0.000123: "0.000123"}
+    got = spark.createDataFrame([(x,) for x in want], "b double").select("b", identity.bound_label(F.col("b")).alias("l")).collect()
+    assert {r.b: r.l for r in got} == want
+    for text in ("16 mib", " 16MB", "16  MB", "1.5MB", "16mb"):
+        with pytest.raises(ValueError):
+            identity.byte_size(text)
+
+
+def test_forecasters():
+    rng = np.random.default_rng(1)
+    season = np.array([0.0, 5.0, -3.0, 2.0])
+    y = 50 + np.tile(season, 30) + rng.normal(0, 0.3, 120)
+    fitted, s, level, rates = conformal.holt_winters(y, 4)
+    assert np.abs(y - fitted).max() < 1.5 and level + s == pytest.approx(50 + season, abs=0.4) and (rates >= 0).all() and rates.sum() <= 1
+    f = conformal.Seasonal(4)
+    f.fit(y)
+    low, high = f.band(8)
+    assert ((low < 50 + np.tile(season, 2)) & (50 + np.tile(season, 2) < high)).all()
+    with pytest.raises(ValueError):
+        conformal.Seasonal(168).fit(y)
+    c = conformal.Constant(0.2)
+    c.fit(np.arange(101.0))
+    assert c.band(2)[0].tolist() == [10.0, 10.0] and c.band(1)[1].tolist() == [90.0]
+    assert conformal.paired_seeds("a", 3) == conformal.paired_seeds("a", 5)[:3] != conformal.paired_seeds("b", 3)
+    assert numeric.t_quantile(0.975, 9) == pytest.approx(2.262157, abs=1e-5) and numeric.t_quantile(0.05, 30) == pytest.approx(-1.697261, abs=1e-5)
+
+
+def test_trials_find_large_jumps_only(spark):
+    from fathomline.operators import simulate
+
+    rows = simulate.dead_zone(spark, [0.0, 0.1], [0.02, 20.0], 3, simulate.Setup(series=201, m=400)).cache()
+    rates = {(r.noise, r.magnitude): r for r in simulate.cells(rows).collect()}
+    assert rates[0.0, 20.0].detected_rate == 1.0 and rates[0.1, 0.02].recovered_rate == 0.0 and rates[0.1, 20.0].storm_rate == 1.0
+    again = simulate.dead_zone(spark, [0.0, 0.1], [0.02, 20.0], 3, simulate.Setup(series=201, m=400))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, again.collect()))
+    floors = {r.noise: r.floor for r in analyze.recovery_floor(analyze.cell_rates(rows, ["noise", "magnitude"], ["detected"]), "noise", "magnitude", "detected_rate").collect()}
+    assert floors[0.0] in (0.02, 20.0)
+
+
+def test_pushed_frames_land_and_are_drained(spark, tmp_path):
+    import urllib.error
+    import urllib.request
+
+    from fathomline.sources import push
+
+    raw = frames.encode(dict.fromkeys("frame_type flags bits emitter_id shard_id epoch seq view_id m d predictor key_version codec dict_root".split(), 1) | {"energy": 2.0, "quant_scale": 0.5})
+    folder = tmp_path / "in"
+
+    def ask(url, data=None, method=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, data, method=method), timeout=5) as r:
+                return r.status
+        except urllib.error.HTTPError as e:
+            return e.code
+
+    with push.FrameServer(str(folder)) as server:
+        assert [ask(server.url, raw), ask(server.url, b"junk"), ask(server.url), ask(server.url + "x", raw)] == [204, 400, 405, 404]
+        request = urllib.request.Request(server.url, b"x", {"Content-Length": str(push.LARGEST + 1)})
+        with pytest.raises(urllib.error.HTTPError, match="413"):
+            urllib.request.urlopen(request, timeout=5)
+    (folder / "0bad.plmp").write_bytes(b"bad")
+    seen = []
+    assert readers.drained_folder(spark, str(folder), lambda df: seen.extend(df.collect())) == (1, 1)
+    assert len(seen) == 1 and seen[0].frame_type == 1 and (folder / ".processed" / "0bad.plmp.invalid").exists() and not list(folder.glob("*.plmp"))
+    assert readers.drained_folder(spark, str(folder), lambda df: None) == (0, 0)
+
+
+def test_spool_keeps_order_and_budget(spark, tmp_path):
+    up, got = [False], []
+
+    def sink(batch, number):
+        if not up[0]:
+            raise OSError("down")
+        got.append((number, batch.count()))
+
+    spool = writers.Spool(sink, str(tmp_path / "spool"), 1 << 20)
+    for k in range(3):
+        spool(spark.range(k + 1), k)
+    assert got == [] and len(spool.waiting()) == 3
+    (tmp_path / "spool" / f"{1:020d}").rename(tmp_path / "spool" / f"{9:020d}")
+    for f in (tmp_path / "spool" / f"{9:020d}").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    up[0] = True
+    spool(spark.range(9), 10)
+    assert got == [(0, 1), (2, 3), (10, 9)] and spool.unreadable == 1 and spool.waiting() == []
+    up[0], small = False, writers.Spool(sink, str(tmp_path / "small"), 10)
+    small(spark.range(5), 1)
+    assert small.dropped == 1 and small.waiting() == []
+
+
+def test_states_reports_and_frame_files(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    (tmp_path / "state").mkdir()
+    assert writers.load_state(spark, folder, "id long").count() == 0
+    writers.save_state(spark.range(3), folder)
+    writers.save_state(spark.range(5), folder)
+    assert writers.load_state(spark, folder, "id long").count() == 5
+    writers.report_json(spark.range(1).select(F.lit(0.5).alias("recall")), str(tmp_path / "r.json"))
+    assert __import__("json").loads((tmp_path / "r.json").read_text()) == {"recall": 0.5}
+    raw = frames.encode(dict.fromkeys("frame_type flags bits emitter_id shard_id epoch seq view_id m d predictor key_version codec dict_root".split(), 1) | {"energy": 2.0, "quant_scale": 0.5})
+    batch = frames.decoded(spark.createDataFrame([(bytearray(raw),)], "content binary")).drop("error")
+    writers.frame_files(batch, str(tmp_path / "out"))
+    writers.frame_files(batch, str(tmp_path / "out"))
+    assert [f.read_bytes() for f in (tmp_path / "out").iterdir()] == [raw]
+
+
+def test_snapshots_wait_their_turn(spark):
+    rows = spark.createDataFrame([("g", 1, k) for k in range(5)] + [("g", 2, 9), ("g", 7, 10)], "g string, w long, i long")
+    got = {r.i: r.shipped for r in encode.staged_snapshots(rows, ["g"], ["i"], "w", 2, 1).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 2, 4: None, 9: 3, 10: 7}
+
+
+def test_window_book_closes_after_its_last_solve():
+    book = windows.WindowBook(lateness=1, horizon=3)
+    assert book.add([(0, "a", 1.0), (1, "a", 1.0)]) == [(0, 0, 1, 1.0)]
+    assert book.add([(4, "a", 1.0)])[0] == (1, 0, 1, 1.0)
+    assert book.add([(1, "b", 2.0), (0, "b", 2.0)]) == [(1, 1, 2, 3.0), (0, 1, 2, 3.0)]  # repairs keep a window open
+    assert book.add([(9, "a", 1.0)])[0][0] == 4 and book.add([(0, "c", 1.0)]) == []
+
+
+def test_settings_cover_keys_and_outputs():
+    from fathomline.operators.config import Encoder, View
+
+    Encoder(["r"], ["p"], tenant="t", keys=[(1, b"k")], active_key=1, output="topic", servers=["a:1"], topic="x", spool_folder="s").checked()
+    with pytest.raises(ValueError) as e:
+        Encoder(["r"], ["p"], keys=[(1, b""), (1, b"k")], active_key=2, codec="lz4", aggregates=["avg"], storm_multiple=1.0, output="topic", spool_bytes="x", pull_address=":1", views=[View("")], buffer_bytes="1 mb", snapshots=True, snapshots_per_flush=0).checked()
+    for x in ("key 1 is empty", "one version", "version 2", "tenant", "codec", "aggregate avg", "over 1", "servers", "spool_bytes", "certificate", "token", "no name", "no label", "buffer_bytes", "snapshots_per_flush"):
+        assert x in str(e.value), x
+
+
+def test_generated_worlds_carry_their_truth(spark):
+    w = synthetic.world(spark, groups=4, instances=3, windows=10, churn=0.2, noise=0.0, hot=1, hot_added=9.0)
+    assert w.count() == 120 and w.where("instance >= 3").count() > 0 and w.where("grp = 0 and value > 100").count() > 0
+    t = synthetic.lifecycle_truth(w, ["grp", "instance"], 10)
+    assert t.where("type = 'birth'").count() > 0 and t.where("type = 'tombstone' and window_start > 9").count() == 0
+    assert synthetic.drift_truth(spark, groups=4, drifting=1, windows=10, drift=2.0, base=100.0).first().magnitude == 18.0 and synthetic.hot_truth(spark, hot=2, windows=9, hot_added=5.0).count() == 2
+    g = synthetic.background_and_target(spark, series=20, windows=30, bursts=[(5, 6, 1.0)])
+    assert g.count() == 21 * 30 and g.where("series = 0 and w = 5").first().value > 1.3 * g.where("series = 0 and w = 4").first().value
+    m = synthetic.month(spark, groups=3, days=4, emitters=2, life_days=1, incidents=[(5, 9, 1.0, 50.0, "ramp")])
+    assert m.select("grp", "pod").distinct().count() > 3 and m.select("emitter").distinct().count() == 2
+    f = spark.range(60).select(F.col("id").cast("string").alias("frame_id"), F.col("id").cast("double").alias("arrival"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("emitter"))
+    got = synthetic.impaired(f, late=0.0, twice=0.0, skew={"a": 0.5}, cut_off=("b", 10.0, 20.0))
+    assert got.where("emitter = 'b' and arrival = 20.0").count() == 5 and got.where("emitter = 'a' and arrival = 0.5").count() == 1
