@@ -48,22 +48,24 @@ def _mask(part: Column) -> Column:
 
 
 def formatted(pairs: DataFrame, *, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """The other columns of ``pairs`` with prompt_turns, prompt, both completions and both masks.
+    """The other columns of ``pairs`` with prompt_turns, prompt, both completions and both masks; columns of those names
+    are replaced.
 
     Both columns hold turns as (role, text); null counts as no turns. Equal conversations give empty completions."""
-    keep = [c for c in pairs.columns if c not in (chosen, rejected)]
+    made = ("prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
+    keep = [c for c in pairs.columns if c not in (chosen, rejected, *made)]
     none = F.array().cast("array<struct<role: string, text: string>>")
     a, b = F.coalesce(F.col(chosen), none), F.coalesce(F.col(rejected), none)
-    both = pairs.select(*[F.col(f"`{c}`") for c in keep], a.alias("__a"), b.alias("__b")).withColumn("prompt_turns", common_turns(F.col("__a"), F.col("__b")))
+    both = pairs.select(*[F.col(f"`{c}`") for c in keep], a.alias("__a"), b.alias("__b")).withColumn("__n", common_turns(F.col("__a"), F.col("__b")))
 
     def text(part: Column) -> Column:
         return F.array_join(F.transform(part, rendered), "")
 
     def rest(name: str) -> Column:
-        return F.slice(name, F.col("prompt_turns") + 1, F.greatest(F.size(name) - F.col("prompt_turns"), F.lit(0)))
+        return F.slice(name, F.col("__n") + 1, F.greatest(F.size(name) - F.col("__n"), F.lit(0)))
 
     both = both.withColumn("__ra", rest("__a")).withColumn("__rb", rest("__b"))
-    return both.select(*[F.col(f"`{c}`") for c in keep], "prompt_turns", text(F.slice("__a", 1, F.col("prompt_turns"))).alias("prompt"), text(F.col("__ra")).alias("chosen"), text(F.col("__rb")).alias("rejected"), _mask(F.col("__ra")).alias("chosen_mask"), _mask(F.col("__rb")).alias("rejected_mask"))
+    return both.select(*[F.col(f"`{c}`") for c in keep], F.col("__n").alias("prompt_turns"), text(F.slice("__a", 1, F.col("__n"))).alias("prompt"), text(F.col("__ra")).alias("chosen"), text(F.col("__rb")).alias("rejected"), _mask(F.col("__ra")).alias("chosen_mask"), _mask(F.col("__rb")).alias("rejected_mask"))
 
 
 def with_borrowed_answers(conversations: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
@@ -80,5 +82,3 @@ def with_borrowed_answers(conversations: DataFrame, *, id_col: str = "conv_id")
     at = F.array_max(F.transform("turns", lambda t, k: F.when(t["role"] == TRAINED, k)))
     swapped = F.transform("turns", lambda t, k: F.when(k == F.col("at"), F.struct(t["role"].alias("role"), F.col("borrowed").alias("text"))).otherwise(t))
     return joined.withColumn("at", at).select(F.col(id_col), F.col("turns").alias("chosen"), swapped.alias("rejected"))
-
-
