@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,21 +20,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one is set only where there is none."""
+    """The folder that all executors share (spark.checkpoint.dir); a local one is set only where there is none, and is
+    gone with the driver's process."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
+        folder = tempfile.mkdtemp(prefix="fathomline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+_paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str, *, sort_within: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back: cuts the lineage and survives a lost executor. All tables of an
+    application are in one folder of its name; what an operator's result doesn't need it discards itself."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/fathomline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort_within) if sort_within else df).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that ``written`` gave and that nothing needs any more."""
+    for df in tables:
+        path = _paths.pop(df, None) if df is not None else None
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import written
+from fathomline.llm.common import discard, written
 
 #: Edges that a task draws together at a time.
 CHUNK = 1 << 19
@@ -87,7 +87,8 @@ def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if _settled(state):
             break
-        state = written(_starred(_starred(state, True), False), "edges")
+        before, state = state, written(_starred(_starred(state, True), False), "edges")
+        discard(before)
     else:
         raise RuntimeError("components didn't settle")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -267,6 +267,9 @@ def test_preference_pairs(spark):
     assert r.chosen == "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\nbé<|im_end|>\n" and r.rejected == "<|im_start|>user\ny<|im_end|>\n"
     assert [r.chosen[m.start : m.end] for m in r.chosen_mask] == ["bé<|im_end|>"] and r.rejected_mask == []
     assert got[2].prompt == got[2].chosen == "" and got[3].prompt_turns == 1 and got[3].chosen == ""
+    clash = spark.createDataFrame([(1, rows[0][1], rows[0][2], "mine", 9)], f"k int, a {turn}, chosen {turn}, prompt string, prompt_turns int")
+    again = preference_format.formatted(clash, chosen="a", rejected="chosen")
+    assert again.columns == ["k", "prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask"] and again.first().prompt == r.prompt
 
 
 def test_borrowed_answers_odd_rows(spark):
