@@ -18,9 +18,9 @@ from fathomline.llm.common import written
 
 #: Hex digits of a node's hash that a fingerprint shows.
 SHOWN = 8
-#: After what a paragraph is cut into clauses, and the character that is put there (one that the text has itself is
-#: followed by an empty clause or stands inside of one, so no two texts are cut alike).
-CUT, MARK = "([e\u0435\u043e.,;:!?] |[\u3002\u3001\uff0c\uff1b\uff1a\uff01\uff1f])", "\u0001"
+#: After what a paragraph is cut into clauses: a mark or the commonest last letter, and a space. One small set of Latin
+#: characters, since others are several times slower to match; scripts without spaces are cut at line ends alone.
+CUT = "[e.,;:!?] "
 
 
 def _digest(x: Column) -> Column:
@@ -39,13 +39,16 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
 def fingerprint(text: Column) -> Column:
     """root:section|section, a section hash=paragraph;paragraph and a paragraph hash-clause,clause."""
 
+    def node(whole: Column, shown: Column, between: str, end: str) -> Column:
+        """A branch from the whole and the shown hashes of what is below it."""
+        hashed = _digest(F.array_join(whole, between))
+        return _let(F.struct(hashed.alias("hash"), F.array_join(shown, between).alias("shown")), lambda n: F.struct(n["hash"].alias("hash"), F.concat_ws(end, _shown(n["hash"]), n["shown"]).alias("shown")))
+
     def paragraph(line: Column) -> Column:
-        clauses = F.transform(F.split(F.regexp_replace(line, CUT, "$1" + MARK), MARK, -1), _digest)
-        return _let(F.struct(clauses.alias("c"), _digest(F.array_join(clauses, ",")).alias("hash")), lambda p: F.struct(p["hash"].alias("hash"), F.concat_ws("-", _shown(p["hash"]), F.array_join(F.transform(p["c"], _shown), ",")).alias("shown")))
+        return _let(F.transform(F.split(line, f"(?<={CUT})", -1), _digest), lambda c: node(c, F.transform(c, _shown), ",", "-"))
 
     def section(part: Column) -> Column:
-        lines = F.transform(F.split(part, "\n", -1), paragraph)
-        return _let(F.struct(_digest(F.array_join(lines["hash"], ";")).alias("hash"), F.array_join(lines["shown"], ";").alias("shown")), lambda p: F.struct(p["hash"].alias("hash"), F.concat_ws("=", _shown(p["hash"]), p["shown"]).alias("shown")))
+        return _let(F.transform(F.split(part, "\n", -1), paragraph), lambda p: node(p["hash"], p["shown"], ";", "="))
 
     sections = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), section)
     return _let(sections, lambda s: F.concat_ws(":", _digest(F.array_join(s["hash"], "|")), F.array_join(s["shown"], "|")))
@@ -61,7 +64,7 @@ def _tree(fp: Column) -> Column:
 
 def leaves(fp: Column) -> Column:
     """The distinct clauses of a fingerprint."""
-    return F.array_distinct(F.split(F.regexp_replace(_tree(fp), "[0-9a-f]+[=-]", ""), "[|;,]"))
+    return F.array_distinct(F.transform(F.split(_tree(fp), "[|;,]"), lambda x: F.substring(x, -SHOWN, SHOWN)))
 
 
 def likeness(a: Column, b: Column) -> Column:

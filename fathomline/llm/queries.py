@@ -103,7 +103,7 @@ def _op7_sql() -> str:
 
     def tree(text: str, shown: bool) -> str:
         """The hashes of a text's sections, whole or with what is below them."""
-        cut = f"string_split(regexp_replace(l, '{merkle.CUT}', '\\1' || chr(1), 'g'), chr(1))"
+        cut = f"string_split(regexp_replace(l, '({merkle.CUT})', '\\1' || chr(1), 'g'), chr(1))"
         paragraph = "sha256(" + joined(f"list_transform({cut}, lambda x: sha256(x))", ",") + ")"
         section = "sha256(" + joined(f"list_transform(string_split(s, chr(10)), lambda l: {paragraph})", ";") + ")"
         if shown:

@@ -511,7 +511,7 @@ def test_merkle_hashes_every_branch_from_those_below(spark):
     for section in text.split("\n\n"):
         lines, hashes = [], []
         for line in section.split("\n"):
-            clauses = [sha(c) for c in re.sub(merkle.CUT, "\\1\x01", line).split("\x01")]
+            clauses = [sha(c) for c in re.sub(f"({merkle.CUT})", "\\1\x01", line).split("\x01")]
             hashes.append(sha(",".join(clauses)))
             lines.append(hashes[-1][:8] + "-" + ",".join(c[:8] for c in clauses))
         tops.append(sha(";".join(hashes)))
