@@ -206,5 +206,21 @@ def _op4_sql() -> str:
                {mask('bx', 'x')} AS chosen_mask, {mask('bz', 'y')} AS rejected_mask FROM m GROUP BY conv_id"""
 
 
+#: Every window of 50 bytes by a hash, texts as hex digits, cut into pieces first since a substring of a long text is slow.
+_OP10_SQL = """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+    n AS (SELECT *, length(hx) // 2 AS nb FROM d),
+    q AS (SELECT doc_id, nb, base, substr(hx, 2 * base + 1, 698) AS part FROM (SELECT *, unnest(range(0, nb - 49, 300)) AS base FROM n WHERE nb >= 50)),
+    w AS (SELECT doc_id, base + s AS s, hash(substr(part, 2 * s + 1, 100)) AS g FROM (SELECT *, unnest(range(least(300, nb - 49 - base))) AS s FROM q)),
+    f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+    m AS (SELECT w.doc_id, s, s - coalesce(lag(s) OVER (PARTITION BY w.doc_id ORDER BY s), -1000) > 50 AS starts FROM w JOIN f USING (g) WHERE first < w.doc_id),
+    i AS (SELECT doc_id, s, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM m),
+    r AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY doc_id, island),
+    p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+    k AS (SELECT p.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM p JOIN n USING (doc_id) GROUP BY p.doc_id)
+    SELECT n.doc_id, nb AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM n LEFT JOIN k ON k.doc_id = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_format": _op4_sql(), "op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
+    return {"op10_suffix_array_dedup": _OP10_SQL, "op4_preference_format": _op4_sql(), "op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
