@@ -817,3 +817,28 @@ def test_cuts_inside_characters_make_no_new_one(spark):
     got = {r.doc_id: r.text for r in suffix_dedup.without_copies(docs).collect()}
     assert got == {1: f"aaaa é{shared}ш one", 2: "bbb  two"}
     assert suffix_dedup.whole_characters("aéé b".encode(), [(2, 4), (6, 7)]) == [(1, 5), (6, 7)]
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd.unionByName(odd.where("doc_id in (0, 7)"))), ("none", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        read = docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.written(stage(spark, docs, str(tmp_path / name)), "test")
+            assert docs.columns == read.columns
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count()
+        assert (name == "none") == out.isEmpty()
+    texts = [r.text for r in docs.collect()]
+    assert texts == []
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    a, b = common.written(spark.range(3), "gone"), common.written(spark.range(4), "stays")
+    path = a.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    common.discard(a, None, spark.range(2))
+    assert not os.path.exists(path) and b.count() == 4
