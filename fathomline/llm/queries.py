@@ -206,6 +206,54 @@ def _op4_sql() -> str:
                {mask('bx', 'x')} AS chosen_mask, {mask('bz', 'y')} AS rejected_mask FROM m GROUP BY conv_id"""
 
 
+def _op9_sql() -> str:
+    """Containers of one track put together box by box as hex digits, apart from the operator's writer; every header is 593
+    bytes and four for each keyframe and chunk and twelve for each run of chunks."""
+    import struct
+
+    def u32(x: str) -> str:
+        return f"printf('%08x', {x})"
+
+    def const(*parts: int | bytes) -> str:
+        return b"".join(struct.pack(">I", p) if isinstance(p, int) else p for p in parts).hex()
+
+    def box(kind: str, name: str) -> str:
+        """A column of hex digits in a box."""
+        return f"{u32(f'8 + length({name}) // 2')} || '{kind.encode().hex()}' || {name}"
+
+    def full(kind: str, body: str, flags: int = 0) -> str:
+        return f"(SELECT {u32('8 + length(b) // 2')} || '{kind.encode().hex()}' || b FROM (SELECT '{flags:08x}' || {body} AS b))"
+
+    unity = const(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+    entry = bytes(6) + b"\0\1" + bytes(16) + bytes.fromhex("0018001800480000004800000000000000" + "01") + bytes(32) + bytes.fromhex("0028ffff")
+    entry = const(8 + len(entry), b"raw ", entry)
+    crc = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        crc.append(k)
+    return f"""
+    WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+    n AS (SELECT *, length(x) // 2 AS size, greatest(1, (length(x) // 2 + 575) // 576) AS n FROM d),
+    p AS (SELECT doc_id, size, n, x || repeat('ff', (n * 576 - size)::INT) AS pay, (n + 9) // 10 AS chunks, n % 10 AS rest, (n + 11) // 12 AS nk, (n >= 10)::INT + (n % 10 > 0)::INT AS ns FROM n),
+    t AS (SELECT *, '{const(24, b"ftyp", b"isom", 512, b"isom", b"mp41")}' AS ftyp, 593 + 4 * nk + 12 * ns + 4 * chunks AS first FROM p),
+    s AS (SELECT *, {full('stsd', f"'00000001{entry}'")} || {full('stts', f"'00000001' || {u32('n')} || '00000001'")}
+               || {full('stss', f"{u32('nk')} || array_to_string(list_transform(range(nk), lambda k: {u32('12 * k + 1')}), '')")}
+               || {full('stsc', f"{u32('ns')} || CASE WHEN n >= 10 THEN '000000010000000a00000001' ELSE '' END || CASE WHEN rest > 0 THEN {u32('chunks')} || {u32('rest')} || '00000001' ELSE '' END")}
+               || {full('stsz', f"'{const(576)}' || {u32('n')}")} || {full('stco', f"{u32('chunks')} || array_to_string(list_transform(range(chunks), lambda k: {u32('first + 5760 * k')}), '')")} AS stbl0 FROM t),
+    m AS (SELECT *, {box('stbl', 'stbl0')} AS stbl FROM s),
+    i AS (SELECT *, '{const(20, b"vmhd", 1, bytes(8))}' || '{const(36, b"dinf", 28, b"dref", 0, 1, 12, b"url ", 1)}' || stbl AS minf0 FROM m),
+    a AS (SELECT *, {full('mdhd', f"'{const(0, 0, 25)}' || {u32('n')} || '55c40000'")} || '{const(39, b"hdlr", 0, 0, b"vide", bytes(12), b"frames", bytes(1))}' || {box('minf', 'minf0')} AS mdia0 FROM i),
+    k AS (SELECT *, {full('tkhd', f"'{const(0, 0, 1, 0)}' || {u32('n')} || '{const(bytes(16), bytes.fromhex(unity), 24 << 16, 24 << 16)}'", 3)} || {box('mdia', 'mdia0')} AS trak0 FROM a),
+    v AS (SELECT *, {full('mvhd', f"'{const(0, 0, 25)}' || {u32('n')} || '{const(0x10000, bytes.fromhex('0100'), bytes(10), bytes.fromhex(unity), bytes(24), 2)}'")} || {box('trak', 'trak0')} AS moov0 FROM k),
+    h AS (SELECT *, {box('moov', 'moov0')} AS moov FROM v),
+    z AS (SELECT *, ftyp || moov || {u32('576 * n + 8')} || '{b"mdat".hex()}' || pay AS media, list_transform(range(32), lambda j: ('0x' || substr(pay, (length(pay) - 64 + 2 * j + 1)::INT, 2))::BIGINT) AS tail FROM h)
+    SELECT doc_id, size AS n_bytes, 576 * n AS payload_bytes, sha256(unhex(pay)) AS payload_sha256,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, tail), lambda c, b: xor(c >> 8, ({crc}::BIGINT[])[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS tail_crc32,
+           length(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
+           'raw 24x24 ' || n || ' frames ' || printf('%.2f', n / 25.0::DOUBLE) || ' s keys ' || array_to_string(list_transform(range(nk), lambda k: (first + 6912 * k) || '-' || (first + 6912 * k + 576)), ',') AS feature FROM z"""
+
+
 #: Every window of 50 bytes by a hash, texts as hex digits, cut into pieces first since a substring of a long text is slow.
 _OP10_SQL = """
     WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
@@ -223,4 +271,4 @@ _OP10_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_suffix_array_dedup": _OP10_SQL, "op4_preference_format": _op4_sql(), "op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
+    return {"op9_media_columns": _op9_sql(), "op10_suffix_array_dedup": _OP10_SQL, "op4_preference_format": _op4_sql(), "op2_mixing": _op2_sql(), "op7_merkle_fingerprints": _op7_sql()}
