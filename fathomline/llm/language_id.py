@@ -115,7 +115,7 @@ class LanguageModel:
         return out
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
-        at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(words.cast(self.words.type), self.words), -1).to_numpy(zero_copy_only=False)
         out = np.empty((len(words), len(self.languages)))
         out[at >= 0] = self.word_table[at[at >= 0]]
         unknown = np.flatnonzero(at < 0)
