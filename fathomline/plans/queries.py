@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import hashing, identity, numeric
 from fathomline.operators import analyze, conformal, encode, recovery
-from fathomline.sources import synthetic
 from fathomline.streaming import windows
 
 HOURS, EVERY, GOLDEN, TTL = 6, 6, 24, 3
@@ -700,14 +699,22 @@ def sparse_recovery(spark, d):
 
 
 def frames_of(spark, d) -> DataFrame:
-    """Frames of each shard by hour from three emitters, some a few windows late or twice."""
-    p = points(spark, d).groupBy((F.col("user_id") % 2).cast("string").alias("shard"), (F.col("user_id") % 4).cast("string").alias("view"), "w", (F.col("user_id") % 3).cast("string").alias("emitter")).agg(rounded(F.sum("value")).alias("value"))
-    p = p.withColumn("frame_id", F.concat_ws("/", "shard", "view", F.col("w").cast("string"), "emitter")).withColumn("arrival", F.col("w").cast("long"))
-    late = synthetic.impaired(p, most_late=4)
-    return late.withColumn("arrival", F.concat_ws("/", F.lpad(F.col("arrival").cast("string"), 12, "0"), "frame_id"))
-
-
-@query()
+    """Frames of each shard's views by hour from three emitters, some a few windows late or twice."""
+    emitter = F.col("user_id") % 3
+    p = points(spark, d, 1).groupBy((F.col("user_id") % 2).cast("string").alias("shard"), (F.col("user_id") % 4).cast("string").alias("view"), "w", emitter.alias("e")).agg(rounded(F.sum("value")).alias("value"))
+    late = F.when((F.col("w") * 7 + F.col("e") * 3) % 10 == 0, 1 + (F.col("w") + F.col("e")) % 4).otherwise(0)
+    p = p.withColumn("arrival", F.concat_ws("/", F.lpad((F.col("w") + late).cast("string"), F.lit(12), F.lit("0")), "shard", "view", F.col("w").cast("string"), F.col("e").cast("string")))
+    p = p.select("shard", "view", "w", F.col("e").cast("string").alias("emitter"), "value", "arrival")
+    return p.unionByName(p.where("(w + cast(emitter as int)) % 13 = 0"))
+
+
+@query("""WITH p AS (SELECT (user_id % 2)::VARCHAR AS shard, (user_id % 4)::VARCHAR AS view, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS w, user_id % 3 AS e, round(sum(value), 6) AS value FROM events GROUP BY ALL),
+          o AS (SELECT *, row_number() OVER (PARTITION BY shard, view ORDER BY w + CASE WHEN (w * 7 + e * 3) % 10 = 0 THEN 1 + (w + e) % 4 ELSE 0 END, w::VARCHAR, e::VARCHAR) AS k FROM p),
+          t AS (SELECT *, max(w) OVER (PARTITION BY shard, view ORDER BY k) AS top FROM o),
+          f AS (SELECT shard, view, w, min(k) AS k0 FROM o GROUP BY ALL),
+          s AS (SELECT f.shard, f.view, f.w, min(t.k) AS k1 FROM f JOIN t ON t.shard = f.shard AND t.view = f.view AND t.k >= f.k0 AND t.top > f.w GROUP BY ALL),
+          r AS (SELECT shard, view, w, greatest(k, k1) AS solved, count(*) AS n, sum(value) AS v FROM o JOIN s USING (shard, view, w) GROUP BY ALL)
+          SELECT shard, view, w, (row_number() OVER z - 1)::INT AS revision, (sum(n) OVER z)::INT AS coverage, round(sum(v) OVER z, 6) AS total FROM r WINDOW z AS (PARTITION BY shard, view, w ORDER BY solved)""")
 def repaired_windows(spark, d):
     """What a stream with repairs gives over a finished log."""
     return windows.replayed(frames_of(spark, d)).withColumn("total", rounded("total"))
