@@ -63,7 +63,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """A byte-fallback BPE vocabulary from the bytes of a ``.model`` file, with an encoder and a decoder."""
 
-    def __init__(self, data: bytes, remembered: int = 100_000):
+    def __init__(self, data: bytes, remembered: int = 300_000):
         message = list(_fields(data))
         self.pieces: list[str] = []
         self.kinds: list[int] = []

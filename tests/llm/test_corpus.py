@@ -515,6 +515,17 @@ def test_near_copies_go_by_their_fingerprints_first(spark, monkeypatch):
     assert kept == set(alike_components(texts).values()) == {2 * k for k in range(40)}
 
 
+def test_segments_of_a_large_vocabulary_are_learned_once():
+    with open(queries.tokenizer_path(), "rb") as f:
+        m = sentencepiece_bpe.PieceModel(f.read())
+    learned, remember = [], m._remember
+    m._remember = lambda segment, ids: learned.append(segment) or remember(segment, ids)
+    words = [f"w{k}" for k in range(250_000)]
+    for k in [*range(0, 250_000, 5000)] * 2:
+        m.digest(" ".join(words[k : k + 5000]))
+    assert len(learned) == 250_000
+
+
 # --- Merkle
 
 
