@@ -19,7 +19,7 @@ it is built in slices that can be taken apart:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -304,24 +304,49 @@ def _split(marks: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[n
     return run[cuts], starts[run[cuts]] + inside[cuts], np.diff(np.r_[cuts, len(run)]), marks[cuts]
 
 
-def _packed(**columns: np.ndarray) -> bytes:
-    """Columns of one length, byte planes together, compressed."""
-    planes = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes() for v in columns.values())
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+def _planes(kinds: list[tuple[str, str]], n: int, columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Columns as the bytes of their rows, one row after another."""
+    rows = np.empty(n, np.dtype(kinds))
+    for name, values in columns.items():
+        rows[name] = values
+    return rows.view(np.uint8).reshape(n, -1)
 
 
-def _unpacked(data: bytes, kinds: list[tuple[str, str]]) -> dict[str, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    sizes = [np.dtype(k).itemsize for _, k in kinds]
-    n, at, out = len(planes) // sum(sizes), 0, {}
-    for (name, kind), size in zip(kinds, sizes, strict=True):
-        out[name] = np.ascontiguousarray(planes[at : at + n * size].reshape(size, n).T).reshape(-1).view(kind)
-        at += n * size
-    return out
+def _packed(kinds: list[tuple[str, str]], starts: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[bytes]:
+    """The rows from each of ``starts`` to the next, byte planes together, compressed; ``doc`` as differences within them.
+
+    All is worked out for the rows together: a batch has as many parts as the corpus has slices, so what each part costs
+    grows with the square of the input."""
+    doc = columns["doc"].astype("<i8")
+    columns = columns | {"doc": np.diff(doc, prepend=np.zeros(1, doc.dtype))}
+    columns["doc"][starts] = doc[starts]
+    planes = _planes(kinds, len(doc), columns)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
+        yield pack(planes[s:e].T.tobytes())
 
 
-def _delta(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=np.zeros(1, x.dtype))
+def _rows_of(data: bytes, kind: np.dtype, unpack: Callable[[bytes], bytes]) -> np.ndarray:
+    return np.frombuffer(unpack(data), np.uint8).reshape(kind.itemsize, -1).T
+
+
+def _unpacked(data: bytes, kinds: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """The columns of one part, ``doc`` still as differences."""
+    kind = np.dtype(kinds)
+    rows = np.ascontiguousarray(_rows_of(data, kind, zstandard.ZstdDecompressor().decompress)).view(kind)[:, 0]
+    return {name: np.ascontiguousarray(rows[name]) for name, _ in kinds}
+
+
+def _all_unpacked(parts: list[bytes], kinds: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """The columns of all rows of the parts."""
+    kind, unpack = np.dtype(kinds), zstandard.ZstdDecompressor().decompress
+    each = [_rows_of(p, kind, unpack) for p in parts]
+    rows = np.concatenate([np.empty((0, kind.itemsize), np.uint8), *each]).view(kind)[:, 0]
+    sizes = np.array([len(p) for p in each], np.int64)
+    out = {name: np.ascontiguousarray(rows[name]) for name, _ in kinds}
+    sums = np.r_[0, np.cumsum(out["doc"])]
+    out["doc"] = sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
+    return out
 
 
 _NAMES = [("name", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i8"), ("count", "<i4"), ("hot", "u1")]
@@ -342,9 +367,24 @@ def _as_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
 _PACKED = "kind int, bucket int, data binary, text binary"
 
 
+def _batches(rows: Iterator[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about a megabyte."""
+    held: list[tuple[int, int, bytes, bytes]] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2]) + len(row[3]) + 32
+        if size >= 1 << 20:
+            yield _as_batch(held)
+            held, size = [], 0
+    if held:
+        yield _as_batch(held)
+
+
 def _ranges_row(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int = 1) -> tuple[int, int, bytes, bytes]:
     order = np.lexsort((start, copy, doc))
-    return _row(RANGES, int(doc[0]) % buckets, _packed(doc=_delta(doc[order].astype("<i8")), copy=copy[order].astype("<i4"), start=start[order].astype("<i8"), end=end[order].astype("<i8")))
+    columns = {"doc": doc[order], "copy": copy[order], "start": start[order], "end": end[order]}
+    return _row(RANGES, int(doc[0]) % buckets, next(_packed(_RANGE, np.zeros(1, np.int64), columns)))
 
 
 def _bytes_rows(texts: list[bytes], index: np.ndarray, name: np.ndarray, doc: np.ndarray, copy: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray, length: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -360,11 +400,13 @@ def _bytes_rows(texts: list[bytes], index: np.ndarray, name: np.ndarray, doc: np
         start, count = np.r_[start[cold], own_start], np.r_[count[cold], np.ones(len(each), count.dtype)]
     bucket = (name % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start, copy, doc, bucket))
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.unique(bucket).tolist():
-        o = order[ends[b] : ends[b + 1]]
-        text = b"".join([texts[i][s : s + c + length - 1] for i, s, c in zip(index[o].tolist(), start[o].tolist(), count[o].tolist(), strict=True)])
-        yield _row(BYTES, b, _packed(name=name[o], doc=_delta(doc[o].astype("<i8")), copy=copy[o].astype("<i4"), start=start[o].astype("<i8"), count=count[o].astype("<i4")), zstandard.ZstdCompressor(level=1).compress(text))
+    bucket, index, start, count = bucket[order], index[order], start[order], count[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    packed = _packed(_SENT, starts, {"name": name[order], "doc": doc[order], "copy": copy[order], "start": start, "count": count})
+    pack = zstandard.ZstdCompressor(level=1).compress
+    index, start, end = index.tolist(), start.tolist(), (start + count + length - 1).tolist()
+    for b, s, e, data in zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], packed, strict=True):
+        yield _row(BYTES, b, data, pack(b"".join([texts[index[k]][start[k] : end[k]] for k in range(s, e)])))
 
 
 def _batch_rows(texts: list[bytes], ids: np.ndarray, copies: np.ndarray, length: int, buckets: int, most: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -410,11 +452,12 @@ def _batch_rows(texts: list[bytes], ids: np.ndarray, copies: np.ndarray, length:
     flag = np.r_[np.zeros(len(send) - len(told), np.uint8), np.ones(len(told), np.uint8)]
     bucket = (name[send] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start[send], copy[send], doc[send], bucket))
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.unique(bucket).tolist():
-        p = order[ends[b] : ends[b + 1]]
-        o = send[p]
-        yield _row(NAMES, b, _packed(name=(name[o] // np.uint64(buckets)) & np.uint64((1 << 40) - 1), doc=_delta(doc[o].astype("<i8")), copy=copy[o].astype("<i4"), start=start[o].astype("<i8"), count=count[o].astype("<i4"), hot=flag[p]))
+    bucket, flag, o = bucket[order], flag[order], send[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    short = (name[o] // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
+    packed = _packed(_NAMES, starts, {"name": short, "doc": doc[o], "copy": copy[o], "start": start[o], "count": count[o], "hot": flag})
+    for b, data in zip(bucket[starts].tolist(), packed, strict=True):
+        yield _row(NAMES, b, data)
 
 
 def _first_pass(length: int, buckets: int, most: int):
@@ -422,9 +465,7 @@ def _first_pass(length: int, buckets: int, most: int):
         for batch in slices(batches, "text", BATCH):
             texts = utf8_values(batch, "text")
             ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            rows = list(_batch_rows(texts, ids, copies, length, buckets, most))
-            for k in range(0, len(rows), 64):
-                yield _as_batch(rows[k : k + 64])
+            yield from _batches(_batch_rows(texts, ids, copies, length, buckets, most))
 
     return run
 
@@ -440,13 +481,7 @@ def _shared_names(most: int, buckets: int):
 
         Rows of other kinds go through as they are."""
         kinds = group.column("kind").to_numpy()
-        parts = [{k: np.empty(0, t) for k, t in _NAMES}]
-        for data in group.column("data").filter(pa.array(kinds == NAMES)).to_pylist():
-            got = _unpacked(data, _NAMES)
-            got["doc"] = np.cumsum(got["doc"])
-            parts.append(got)
-        name, doc, copy, start, count, hot = (np.concatenate([p[k] for p in parts]) for k, _ in _NAMES)
-        del parts
+        name, doc, copy, start, count, hot = _all_unpacked(group.column("data").filter(pa.array(kinds == NAMES)).to_pylist(), _NAMES).values()
         if len(name):
             order = np.argsort(name, kind="stable")
             edge = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
@@ -485,9 +520,7 @@ def _second_pass(length: int, buckets: int):
             name, place = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
             start, count, hot = place >> (_COUNT_BITS + 1), (place >> 1) & ((1 << _COUNT_BITS) - 1), (place & 1).astype(bool)
             ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            rows = list(_bytes_rows(texts, index, name.view(np.uint64), ids[index], copies[index], start, count, hot, length, buckets))
-            for k in range(0, len(rows), 64):
-                yield _as_batch(rows[k : k + 64])
+            yield from _batches(_bytes_rows(texts, index, name.view(np.uint64), ids[index], copies[index], start, count, hot, length, buckets))
 
     return run
 
@@ -495,15 +528,9 @@ def _second_pass(length: int, buckets: int):
 def _slice_ranges(length: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         """Step 4: the marked ranges of the windows of a bucket."""
-        parts, texts = [], []
-        for data, text in zip(group.column("data").to_pylist(), group.column("text").to_pylist(), strict=True):
-            got = _unpacked(data, _SENT)
-            got["doc"] = np.cumsum(got["doc"])
-            parts.append(got)
-            texts.append(zstandard.ZstdDecompressor().decompress(text))
-        name, doc, copy, start, count = (np.concatenate([p[k] for p in parts]) for k, _ in _SENT)
-        buffer = np.frombuffer(b"".join(texts), np.uint8)
-        del texts, parts
+        name, doc, copy, start, count = _all_unpacked(group.column("data").to_pylist(), _SENT).values()
+        unpack = zstandard.ZstdDecompressor().decompress
+        buffer = np.frombuffer(b"".join([unpack(t) for t in group.column("text").to_pylist()]), np.uint8)
         at = np.cumsum(count + length - 1) - (count + length - 1)
         order = np.lexsort((doc, name))
         rows = []
@@ -522,8 +549,7 @@ def _slice_ranges(length: int):
 def _range_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
-            got = _unpacked(data, _RANGE)
-            yield pa.RecordBatch.from_pydict({"doc": np.cumsum(got["doc"]), "copy": got["copy"], "start": got["start"], "end": got["end"]})
+            yield pa.RecordBatch.from_pydict(_all_unpacked([data], _RANGE))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

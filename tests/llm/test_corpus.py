@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -750,6 +751,28 @@ def test_removal_odd_rows(spark, odd, empty):
     assert suffix_dedup.digests(empty).count() == 0
 
 
+def test_slices_cost_a_batch_little():
+    """A batch has a row for every slice of the corpus, so what a row costs grows with the square of the input."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(50)]
+    ids, zeros = np.arange(50), np.zeros(50, np.int32)
+    name, index, start, count = suffix_dedup.runs(texts, 50)
+
+    def sent(buckets):
+        began = time.process_time()
+        names = [r for r in suffix_dedup._batch_rows(texts, ids, zeros, 50, buckets, 512) if r[0] == suffix_dedup.NAMES]
+        rows = list(suffix_dedup._bytes_rows(texts, index, name, ids[index], zeros[index], start, count, np.zeros(len(name), bool), 50, buckets))
+        took = time.process_time() - began
+        for kinds, found in ((suffix_dedup._SENT, rows), (suffix_dedup._NAMES, names)):
+            parts = [suffix_dedup._unpacked(r[2], kinds) for r in found]
+            got = [x for p in parts for x in zip(np.cumsum(p["doc"]).tolist(), p["start"].tolist(), p["count"].tolist(), strict=True)]
+            assert sorted(got) == sorted(zip(ids[index].tolist(), start.tolist(), count.tolist(), strict=True))
+        return len(names) + len(rows), took
+
+    (few, quick), (many, slow) = sent(40), min((sent(40_000) for _ in range(3)), key=lambda x: x[1])
+    assert many > 100 * few and slow - quick < many * 20e-6
+
+
 def test_suffix_order_and_previous_factors():
     rng = np.random.default_rng(1)
     for length in (32, 50, 56):
