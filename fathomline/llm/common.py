@@ -96,12 +96,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def per_row(df: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
+def per_row(df: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]], after: Callable[[], None] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (the second is the text) mapped part by part to ``schema``; ``rows`` gives each output
-    column as a list."""
+    column as a list. ``after`` is called at a task's end, before freed memory is given back."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches
+        if after:
+            after()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(all_of(batches), 1):
             yield pa.RecordBatch.from_pydict(rows(batch))
 
     return df.select(*keep).mapInArrow(run, schema)

@@ -109,11 +109,18 @@ class PieceModel:
         self.spaced = [p.replace(MARK, " ") if k != CONTROL else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.lengths, self.names = list(map(len, self.pieces)), list(map(str, range(len(self.pieces))))
         self.byte_ids = frozenset(self.byte_of)
-        #: Pairs that were tested; segments that were encoded lately, and those before them.
+        #: Pairs that were tested; segments that were encoded lately, and those before them. Of a segment its ids as text
+        #: are kept, and what they decode to only if that isn't the segment itself.
         self.fits: dict[int, bool] = {}
         self.remembered = remembered
-        self.memory: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.memory: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
+
+    def forget(self, most: int = 50_000) -> None:
+        """Lets go of what was learned from texts, if that is over ``most`` segments or pairs: Python workers live on for
+        the tasks of other operators."""
+        if max(len(self.fits), len(self.memory) + len(self.older)) > most:
+            self.fits, self.memory, self.older = {}, {}, {}
 
     def _known(self, piece: str) -> bool:
         """A character of the vocabulary, or a piece that its own characters merge to."""
@@ -211,20 +218,22 @@ class PieceModel:
             out.append(run.decode(errors="replace"))
         return "".join(out)
 
-    def _remember(self, segment: str, ids: list[int]) -> tuple[str, int, str]:
+    def _remember(self, segment: str, ids: list[int]) -> str | tuple[str, str]:
         names = self.names
-        found = (",".join([names[i] for i in ids]), len(ids), self._pieces_text(ids))
+        found, decoded = ",".join([names[i] for i in ids]), self._pieces_text(ids)
+        if decoded != segment.replace(MARK, " "):
+            found = (found, decoded)
         if len(segment) <= 64:  # long segments are rare and would fill the memory
             if len(self.memory) >= self.remembered:
                 self.older, self.memory = self.memory, {}
             self.memory[segment] = found
         return found
 
-    def _learned(self, segments: set[str]) -> dict[str, tuple[str, int, str]]:
+    def _learned(self, segments: set[str]) -> dict[str, str | tuple[str, str]]:
         """What segments that aren't remembered give: those of known characters together, but for what doesn't begin with
         a space or ends with one, over whose end a piece of several spaces could reach."""
         older, known = self.older.get, self.characters.issuperset
-        out: dict[str, tuple[str, int, str]] = {}
+        out: dict[str, str | tuple[str, str]] = {}
         together = []
         for s in segments:
             found = older(s)
@@ -238,30 +247,35 @@ class PieceModel:
             out[s] = self._remember(s, ids)
         return out
 
-    def _parts(self, text: str) -> list[tuple[str, int, str]]:
-        """(ids as text, number of ids, decoded text) of every segment."""
+    def _whole(self, text: str) -> tuple[str, str]:
+        """(the ids joined by commas, the text they decode to with the prefix)."""
         if not text:
-            return []
-        segments = _SEGMENT.findall(self.prefix + text.replace(" ", MARK))
+            return "", ""
+        marked = self.prefix + text.replace(" ", MARK)
+        segments = _SEGMENT.findall(marked)
         parts = list(map(self.memory.get, segments))
         if None in parts:
             new = self._learned({s for s, p in zip(segments, parts, strict=True) if p is None})
             parts = [new[s] if p is None else p for s, p in zip(segments, parts, strict=True)]
-        return parts
+        if set(map(type, parts)) == {str}:
+            return ",".join(parts), marked.replace(MARK, " ")
+        pairs = [(p, s.replace(MARK, " ")) if isinstance(p, str) else p for s, p in zip(segments, parts, strict=True)]
+        return ",".join([p[0] for p in pairs]), "".join([p[1] for p in pairs])
 
     def _without_prefix(self, text: str) -> str:
         return text[1:] if self.prefix and text[:1] == " " else text
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self._parts(text) for i in p[0].split(",")]
+        joined = self._whole(text)[0]
+        return list(map(int, joined.split(","))) if joined else []
 
     def decode(self, ids: Iterable[int]) -> str:
         return self._without_prefix(self._pieces_text(ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, the ids joined by commas, the text they decode to)."""
-        parts = self._parts(text)
-        return sum(p[1] for p in parts), ",".join([p[0] for p in parts]), self._without_prefix("".join([p[2] for p in parts]))
+        joined, decoded = self._whole(text)
+        return joined.count(",") + 1 if joined else 0, joined, self._without_prefix(decoded)
 
 
 _loaded: dict[str, PieceModel] = {}
@@ -302,7 +316,7 @@ def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
         ids = [m.encode(t) for t in column_values(batch, text_col, "")]
         return {id_col: batch.column(0), "input_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([m.decode(x) for x in ids], pa.string())}
 
-    return per_row(docs, [id_col, text_col], f"`{id_col}` {kind}, input_ids array<int>, decoded string", rows)
+    return per_row(docs, [id_col, text_col], f"`{id_col}` {kind}, input_ids array<int>, decoded string", rows, lambda: model(shared.value).forget())
 
 
 def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,4 +333,4 @@ def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
             back.append(hashlib.sha256(decoded.encode()).hexdigest())
         return {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
 
-    return per_row(docs, [id_col, text_col], f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+    return per_row(docs, [id_col, text_col], f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, lambda: model(shared.value).forget())

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -551,6 +552,36 @@ def test_segments_of_a_large_vocabulary_are_learned_once():
     assert len(learned) == 250_000
 
 
+def test_workers_let_go_of_segments_at_a_tasks_end(spark):
+    docs = spark.range(0, 60, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 5000), k -> concat('w', id * 5000 + k))) as text")
+    path = queries.tokenizer_path()
+    sentencepiece_bpe.digests(docs, path).collect()
+
+    def held(batches):
+        for m in [m for _ in batches for m in sentencepiece_bpe._loaded.values()]:
+            yield pa.RecordBatch.from_pydict({"held": [len(m.memory) + len(m.older)]})
+
+    got = spark.range(0, 1, 1, 1).mapInArrow(held, "held long").collect()
+    assert all(r.held <= 50_000 for r in got)
+
+
+def test_remembered_segments_are_small():
+    import tracemalloc
+
+    with open(queries.tokenizer_path(), "rb") as f:
+        m = sentencepiece_bpe.PieceModel(f.read())
+    tracemalloc.start()
+    try:
+        for k in range(0, 100_000, 5000):
+            m.digest(" ".join(f"w{j}" for j in range(k, k + 5000)))
+        fits, m.fits = m.fits, {}
+        fits.clear()
+        both = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(m.memory) == 100_000 and both < 240 * 100_000
+
+
 # --- Merkle
 
 
