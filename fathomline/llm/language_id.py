@@ -241,7 +241,10 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
         gram_table[at] = logs(gram_n[at], totals[size], len(at))
         index[size] = (hashes[at], at)
     floor = min((float(t.min()) for t in (word_table, gram_table) if t.size), default=0.0)
-    return LanguageModel(languages, pa.array(keys.column("key").to_pylist(), pa.string()), word_table, index, gram_table, max_gram, floor)
+    found = LanguageModel(languages, pa.array(keys.column("key").to_pylist(), pa.string()), word_table, index, gram_table, max_gram, floor)
+    del keys, n, gram_keys, gram_n
+    give_back()  # the driver lives on for other operators
+    return found
 
 
 def predicted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:

@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm.common import column_values, per_row
+from fathomline.llm.common import column_values, give_back, per_row
 
 #: How SentencePiece writes a space, and the types of pieces in its model format. Fixed values of the format.
 MARK = "▁"
@@ -279,6 +279,8 @@ class PieceModel:
 
 
 _loaded: dict[str, PieceModel] = {}
+#: Names of the models that the driver found to be supported; it holds no model itself.
+_accepted: set[str] = set()
 
 
 def model(data: bytes) -> PieceModel:
@@ -300,7 +302,11 @@ def file_bytes(spark: SparkSession, path: str) -> bytes:
 def shared_model(docs: DataFrame, path: str):
     """The model file's bytes on all executors: a vocabulary, of a size that doesn't depend on the documents."""
     data = file_bytes(docs.sparkSession, path)
-    model(data)  # a model that isn't supported is refused here
+    name = hashlib.sha256(data).hexdigest()
+    if name not in _accepted:
+        PieceModel(data)  # a model that isn't supported is refused here
+        _accepted.add(name)
+        give_back()
     return docs.sparkSession.sparkContext.broadcast(data)
 
 

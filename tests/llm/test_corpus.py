@@ -565,6 +565,12 @@ def test_workers_let_go_of_segments_at_a_tasks_end(spark):
     assert all(r.held <= 50_000 for r in got)
 
 
+def test_the_driver_holds_no_vocabulary(spark, empty, monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "_loaded", {})
+    assert sentencepiece_bpe.digests(empty, queries.tokenizer_path()).count() == 0
+    assert not sentencepiece_bpe._loaded
+
+
 def test_remembered_segments_are_small():
     import tracemalloc
 
