@@ -1,6 +1,6 @@
 """Sparse recovery of residuals from a sketch: one solve for each (view, window), spread over the cluster.
 
-numpy only inside a grouped map; the sketch arrives as (bucket, y) rows and the dictionary as (name, bucket, sign) rows.
+numpy only inside a grouped map; the sketch arrives as (bucket, y) rows and the dictionary as rows of many series each.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from fathomline.functions import hashing
 #: Standard deviations by which a group must stand out, and the part of the buckets that a plain support may take before
 #: groups are looked at. Fixed values.
 STANDS_OUT, CONTEXT = 6.0, 5
+#: Rows that a dictionary is dealt out to, so that none grows beyond what a row can hold. Fixed value.
+PARTS = 64
 
 
 @dataclass
@@ -46,26 +49,45 @@ class Solution:
 
 
 class Columns:
-    """The measurement matrix as bucket and value arrays of shape (series, d)."""
+    """The measurement matrix, from bucket and sign arrays of shape (series, d). Held by hash, as places in a list of the
+    m buckets and after them the same buckets with the other sign."""
 
     def __init__(self, buckets: np.ndarray, signs: np.ndarray, m: int):
-        self.b, self.v, self.m = buckets, signs / np.sqrt(buckets.shape[1]), m
+        self.at = np.ascontiguousarray((buckets + m * (signs < 0)).T, np.intp)
+        self.m, self.value = m, 1 / np.sqrt(buckets.shape[1])
+
+    def __len__(self) -> int:
+        return self.at.shape[1]
 
     def forward(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.b.ravel(), (self.v * x[:, None]).ravel(), self.m)
+        both = sum(np.bincount(k, x, 2 * self.m) for k in self.at)
+        return self.value * (both[: self.m] - both[self.m :])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return (self.v * r[self.b]).sum(axis=1)
+        both = self.value * np.concatenate([r, -r])
+        out = both[self.at[0]]
+        for k in self.at[1:]:
+            out += both[k]
+        return out
 
     def dense(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.m, len(rows)))
-        for k in range(self.b.shape[1]):
-            np.add.at(out, (self.b[rows, k], np.arange(len(rows))), self.v[rows, k])
+        for k in self.at[:, rows]:
+            np.add.at(out, (k % self.m, np.arange(len(rows))), np.where(k < self.m, self.value, -self.value))
         return out
 
+    def overlaps(self, rows: np.ndarray) -> np.ndarray:
+        """``dense(rows) @ dense(rows).T`` of shape (m, m), without the dense form."""
+        out = np.zeros(self.m * self.m)
+        at = self.at[:, rows]
+        for i in at:
+            for j in at:
+                out += np.bincount(i % self.m * self.m + j % self.m, np.where((i < self.m) == (j < self.m), 1.0, -1.0), len(out))
+        return out.reshape(self.m, self.m) * self.value**2
+
     def lipschitz(self, steps: int = 30, seed: int = 1) -> float:
         """Largest eigenvalue of the normal matrix, by power iteration."""
-        x = np.random.default_rng(seed).normal(size=len(self.b))
+        x = np.random.default_rng(seed).normal(size=len(self))
         top = 1.0
         for _ in range(steps):
             x /= np.linalg.norm(x) or 1.0
@@ -77,7 +99,7 @@ class Columns:
 def shrunk(a: Columns, y: np.ndarray, weight: float, most: int) -> tuple[np.ndarray, int]:
     """Least squares with an L1 weight by accelerated proximal steps that restart when the objective grows."""
     step = 1 / a.lipschitz()
-    x = z = np.zeros(len(a.b))
+    x = z = np.zeros(len(a))
     t, last, flat = 1.0, np.inf, 0
     for n in range(1, most + 1):
         g = z - step * a.back(a.forward(z) - y)
@@ -96,19 +118,23 @@ def shrunk(a: Columns, y: np.ndarray, weight: float, most: int) -> tuple[np.ndar
 
 
 def refit(a: Columns, y: np.ndarray, support: np.ndarray, ridge: float) -> np.ndarray:
-    """Least squares on the support alone, which takes the L1 weight's pull off the values."""
-    x = np.zeros(len(a.b))
-    if len(support):
+    """Least squares on the support alone, which takes the L1 weight's pull off the values. A support of more series than
+    buckets is solved by bucket: D' (D D' + ridge)^-1 y is the same as (D' D + ridge)^-1 D' y and has m unknowns."""
+    x = np.zeros(len(a))
+    if len(support) > a.m:
+        x[support] = a.back(np.linalg.solve(a.overlaps(support) + ridge * np.eye(a.m), y))[support]
+    elif len(support):
         d = a.dense(support)
         x[support] = np.linalg.solve(d.T @ d + ridge * np.eye(len(support)), d.T @ y)
     return x
 
 
 def capped(x: np.ndarray, threshold: float, most: int) -> np.ndarray:
-    """Where |x| is over the threshold, the ``most`` largest of them."""
+    """Where |x| is over the threshold, the ``most`` largest of them; of series with the same buckets, which can't be told
+    apart, the first."""
     found = np.flatnonzero(np.abs(x) > threshold)
     if len(found) > most:
-        found = found[np.argpartition(-np.abs(x[found]), most - 1)[:most]] if most > 0 else found[:0]
+        found = found[np.argsort(-np.abs(x[found]), kind="stable")[:most]]
     return np.sort(found)
 
 
@@ -145,7 +171,7 @@ def by_groups(a: Columns, y: np.ndarray, groups: np.ndarray, support: np.ndarray
 def group_score(a: Columns, y: np.ndarray, members: np.ndarray, o: Options) -> float:
     """How many standard deviations a group's correlation with what a plain solve leaves is above noise; 0 for no members
     or a perfect fit."""
-    if not len(members) or not len(a.b):
+    if not len(members) or not len(a):
         return 0.0
     support = plain_support(a, y, o, a.m // CONTEXT)[0]
     r = y - a.forward(refit(a, y, support, o.ridge))
@@ -164,7 +190,7 @@ def plain_support(a: Columns, y: np.ndarray, o: Options, most: int) -> tuple[np.
 
 def recover_groups(a: Columns, y: np.ndarray, groups: np.ndarray, o: Options) -> Solution:
     """A solve that goes to groups at once, from a wider plain support than escalation starts with."""
-    if not len(a.b):
+    if not len(a):
         return Solution(np.zeros(0), np.empty(0, int), 1.0, 0, True, False)
     plain, _, steps = plain_support(a, y, o, a.m // CONTEXT)
     support, added = by_groups(a, y, groups, plain, o)
@@ -173,7 +199,7 @@ def recover_groups(a: Columns, y: np.ndarray, groups: np.ndarray, o: Options) ->
 
 
 def recover(a: Columns, y: np.ndarray, groups: np.ndarray | None, o: Options) -> Solution:
-    n = len(a.b)
+    n = len(a)
     size = float(np.linalg.norm(y))
     if not n or not size:
         return Solution(np.zeros(n), np.empty(0, int), 0.0, 0, False, False)
@@ -195,38 +221,49 @@ def recover(a: Columns, y: np.ndarray, groups: np.ndarray | None, o: Options) ->
 def recovered(sketches: DataFrame, names: DataFrame, keys: list[str], *, seed: int, m: int, d: int, name: str = "name", group: str | None = None, options: Options | None = None, emitters: int = 0) -> DataFrame:
     """(keys, name, value, residual, fallback, steps): the series found in each window's sketch.
 
-    ``names`` has the view's active series, by those of ``keys`` that it has; each window is one solve, so a task holds
-    one window's buckets and its view's dictionary. Windows whose dictionary or sketch is empty find nothing. With
-    ``emitters`` expected and a ``coverage`` column in ``sketches``, a window that none took part in is not solved.
+    ``names`` has the view's active series, by those of ``keys`` that it has. Each window is one solve; windows are dealt
+    out to as many runs as there are shuffle partitions, and a task holds a run's buckets, its view's dictionary (in
+    ``PARTS`` rows) and what one window finds. Windows whose dictionary or sketch is empty find nothing. With ``emitters``
+    expected and a ``coverage`` column in ``sketches``, a window that none took part in is not solved.
     """
     o = options or Options()
     kinds = dict(sketches.dtypes)
     shared = [k for k in keys if k in names.columns]
+    more = [group] if group else []
     present = sketches.where(F.col("coverage") > 0) if emitters and "coverage" in sketches.columns else sketches
-    columns = hashing.sketch_columns(names.select(*shared, name, *([group] if group else [])), name, seed, m, d)
-    per_name = columns.groupBy(*shared, name, *([group] if group else [])).agg(F.collect_list("bucket").alias("b"), F.collect_list("sign").alias("s"))
-    book = per_name.groupBy(*shared).agg(F.sort_array(F.collect_list(F.struct(name, "b", "s", *([group] if group else [])))).alias("book"))
-    frames = present.groupBy(*keys).agg(F.collect_list("bucket").alias("bucket"), F.collect_list("y").alias("y"))
-    book = book.select(*shared, F.col(f"book.{name}").alias("__names"), F.flatten("book.b").alias("__b"), F.flatten("book.s").alias("__s"), *([F.col(f"book.{group}").alias("__groups")] if group else []))
-    tasks = frames.join(book, shared) if shared else frames.crossJoin(book)  # one dictionary row
+    runs = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    present = present.withColumn("__run", F.pmod(F.hash(*keys), F.lit(runs)))
+    columns = hashing.sketch_columns(names.select(*shared, name, *more), name, seed, m, d)
+    per_name = columns.groupBy(*shared, name, *more).agg(F.collect_list(F.col("bucket") + F.when(F.col("sign") < 0, m).otherwise(0)).alias("__at"))
+    parts = per_name.groupBy(*shared, F.pmod(F.hash(name), F.lit(PARTS)).alias("__part")).agg(F.collect_list(F.struct(F.col(name).alias("name"), "__at", *(F.col(g).alias("group") for g in more))).alias("__book"))
+    parts = parts.select(*shared, F.col("__book.name").alias("__names"), F.flatten("__book.__at").alias("__at"), *(F.col("__book.group").alias("__groups") for _ in more))
+    used = present.select(*shared, "__run").distinct()
+    book = used.join(parts, shared) if shared else parts.crossJoin(F.broadcast(used))
+    frames = present.groupBy(*keys, "__run").agg(F.collect_list("bucket").alias("__buckets"), F.collect_list("y").alias("__y"))
+    frames = frames.select(*shared, "__run", F.struct(*keys).alias("__window"), "__buckets", "__y")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
-            for k in range(batch.num_rows):
-                cell = lambda c, k=k, batch=batch, at=at: batch.column(at[c])[k].values
-                y = np.zeros(m)
-                y[cell("bucket").to_numpy()] = cell("y").to_numpy()
-                found = cell("__names")
-                a = Columns(cell("__b").to_numpy().reshape(-1, d), cell("__s").to_numpy().reshape(-1, d).astype(float), m)
-                groups = cell("__groups").dictionary_encode().indices.to_numpy() if group else None
-                s = recover(a, y, groups, o)
-                n = len(s.support)
-                same = {c: pa.array([batch.column(at[c])[k].as_py()] * n, batch.schema.field(c).type) for c in keys}
-                yield pa.RecordBatch.from_pydict({**same, "name": found.take(pa.array(s.support, pa.int64())).cast(pa.string()), "value": pa.array(s.values[s.support], pa.float64()), "residual": pa.array([s.residual] * n, pa.float64()), "fallback": pa.array([s.fallback] * n, pa.bool_()), "steps": pa.array([s.steps] * n, pa.int32())})
+        table = pa.Table.from_batches(list(batches))
+        asked = table.filter(table["__window"].is_valid()).select(["__window", "__buckets", "__y"])
+        flat = {c: pc.list_flatten(table[c]).combine_chunks() for c in ("__names", "__at", *(["__groups"] if group else []))}
+        if not len(flat["__names"]):
+            return
+        order = pc.sort_indices(flat["__names"], null_placement="at_start").to_numpy()
+        at = flat["__at"].to_numpy().reshape(-1, d)[order]
+        a = Columns(at % m, np.where(at < m, 1, -1), m)
+        groups = flat["__groups"].dictionary_encode("encode").indices.to_numpy()[order] if group else None
+        found = flat["__names"].cast(pa.string())
+        del table, at, flat
+        for window, buckets, values in zip(*(asked[c] for c in asked.column_names), strict=True):
+            y = np.zeros(m)
+            y[buckets.values.to_numpy()] = values.values.to_numpy()
+            s = recover(a, y, groups, o)
+            n = len(s.support)
+            same = {c: pa.repeat(window[c], n) for c in keys}
+            yield pa.RecordBatch.from_pydict({**same, "name": found.take(pa.array(order[s.support])), "value": pa.array(s.values[s.support], pa.float64()), "residual": pa.array(np.full(n, s.residual)), "fallback": pa.array(np.full(n, s.fallback)), "steps": pa.array(np.full(n, s.steps, np.int32))})
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "name string, value double, residual double, fallback boolean, steps int"])
-    return tasks.mapInArrow(solve, schema)
+    return frames.unionByName(book, allowMissingColumns=True).groupBy(*shared, "__run").applyInArrow(solve, schema)
 
 
 def deviations(solves: DataFrame, most_residual: float) -> DataFrame:

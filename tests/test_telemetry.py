@@ -142,6 +142,35 @@ def test_group_escalation():
     assert s.grouped and set(np.flatnonzero(groups == 2)) <= set(s.support.tolist()) and abs(s.values[groups == 2].mean() - 8) < 0.5
 
 
+def test_groups_of_more_series_than_buckets():
+    rng = np.random.default_rng(8)
+    a = recovery.Columns(rng.integers(0, 300, (200_000, 6)), rng.choice([-1.0, 1.0], (200_000, 6)), 300)
+    groups, y = np.arange(200_000) // 100_000, rng.normal(size=300)
+    for _ in range(20):  # towards what the second group stands out by
+        y = a.forward(np.where(groups == 1, a.back(y), 0.0))
+        y /= np.linalg.norm(y)
+    s = recovery.recover(a, y, groups, recovery.Options(threshold=50.0, most_steps=5))
+    assert s.grouped and set(np.flatnonzero(groups == 1)) <= set(s.support.tolist()) and s.residual < 1e-6 and np.allclose(a.forward(s.values), y)
+    some = np.sort(rng.choice(200_000, 900, replace=False))
+    dense = a.dense(some)
+    assert np.allclose(a.overlaps(some), dense @ dense.T)
+    got = recovery.refit(a, y, some, 1e-3)
+    assert np.allclose(got[some], np.linalg.solve(dense.T @ dense + 1e-3 * np.eye(900), dense.T @ y)) and not np.delete(got, some).any()
+
+
+def test_equal_coefficients_are_taken_in_order():
+    x = np.tile([2.0, -3.0, 3.0, 0.5], 500)
+    assert recovery.capped(x, 1.0, 7).tolist() == [1, 2, 5, 6, 9, 10, 13] and not len(recovery.capped(x, 1.0, 0)) and len(recovery.capped(x, 1.0, 2000)) == 1500
+
+
+def test_recovery_by_view(spark):
+    names = spark.createDataFrame([(v, f"v{v}|i{k}", f"g{k % 3}" if k else None) for v in (1, 2) for k in range(80)], "view int, name string, grp string")
+    hit = spark.createDataFrame([(v, w, f"v{v}|i{10 * w + v}", 30.0 + w) for v in (1, 2, 3) for w in range(7)], "view int, w long, name string, residual double")
+    y = encode.sketch(hit, ["view", "w"], seed=9, m=200, d=6)
+    got = {(r.view, r.w, r.name): r.value for r in recovery.recovered(y, names, ["view", "w"], seed=9, m=200, d=6, group="grp").collect()}
+    assert got == {(v, w, f"v{v}|i{10 * w + v}"): pytest.approx(30.0 + w, abs=0.1) for v in (1, 2) for w in range(7)}  # view 3 has no dictionary
+
+
 def test_sketch_error_bound_and_merge(spark):
     df = spark.range(4000).select((F.col("id") % 7).alias("b"), (synthetic.normal(2, F.col("id")) * 50).alias("v"))
     bins = conformal.sketch_bins(df, ["b"], "v")
